@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tessella.llm import quality as q
+
 
 def _top(groups: str, keys: str, n: int, out: str) -> str:
     return f"""WITH each AS (SELECT {keys}, edit_id, MAX(added) AS added FROM ({groups}) WHERE added IS NOT NULL GROUP BY ALL),
@@ -22,9 +24,47 @@ def _p6_top(field: str, table: str, k: int) -> str:
 WHERE "{field}" IS NOT NULL GROUP BY "{field}" ORDER BY n DESC, "{field}" LIMIT {k})"""
 
 
+def _quote(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _p9_figures() -> str:
+    words = ", ".join(map(_quote, q.WORDS))
+    stops = ", ".join(map(_quote, q.STOP))
+    return f"""WITH texts AS (SELECT doc_id, regexp_replace(coalesce(text, ''), {_quote(q.INVISIBLE)}, '', 'g') AS t FROM documents),
+tokens AS (SELECT doc_id, w, regexp_replace(lower(w), {_quote(q.EDGES)}, '', 'g') AS bare
+  FROM (SELECT doc_id, unnest(regexp_extract_all(t, {_quote(q.TOKEN)})) AS w FROM texts)),
+flags AS (SELECT doc_id, w, bare, regexp_matches(bare, {_quote(q.PLAIN)}) AS plain,
+  list_has_any(string_split_regex(bare, {_quote(q.PIECES)}), [{words}]) AS common FROM tokens),
+by_word AS (SELECT doc_id, COUNT(*) AS n_words, SUM(length(w)) AS n_letters, COUNT(*) FILTER (regexp_matches(w, '\\pL')) AS lettered,
+  COUNT(*) FILTER (plain) AS plain, COUNT(*) FILTER (plain AND common) AS common, COUNT(DISTINCT CASE WHEN bare IN ({stops}) THEN bare END) AS stops
+  FROM flags GROUP BY doc_id),
+tops AS (SELECT doc_id, MAX(n) AS top FROM (SELECT doc_id, bare, COUNT(*) AS n FROM tokens GROUP BY ALL) GROUP BY doc_id),
+lines AS (SELECT doc_id, line, regexp_matches(line, {_quote(q.SENTENCE_END)}) AS ends, regexp_matches(line, {_quote(q.BULLET)}) AS bullet,
+  regexp_matches(line, {_quote(q.ELLIPSIS_END)}) AS dots, len(regexp_extract_all(line, {_quote(q.TOKEN)})) AS n
+  FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\\pZ\\s]')),
+by_line AS (SELECT doc_id, COUNT(*) AS n_lines, COUNT(*) FILTER (ends) AS ends, COUNT(*) FILTER (dots) AS dots, COUNT(*) FILTER (bullet) AS bullets,
+  COUNT(*) FILTER (bullet AND NOT ends) AS items, coalesce(SUM(n) FILTER (bullet AND NOT ends), 0) AS item_words FROM lines GROUP BY doc_id)
+SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_lines, 0) AS n_lines, coalesce(CAST(n_letters AS DOUBLE) / n_words, 0) AS mean_word_length,
+  coalesce(CAST(len(regexp_extract_all(t, {_quote(q.SYMBOLS)})) AS DOUBLE) / n_words, 0) AS symbol_ratio,
+  coalesce(CAST(lettered AS DOUBLE) / n_words, 0) AS letter_word_share, coalesce(CAST(plain AS DOUBLE) / n_words, 0) AS plain_word_share,
+  coalesce(CAST(common AS DOUBLE) / n_words, 0) AS common_word_share, coalesce(stops, 0) AS n_stop_words, coalesce(CAST(top AS DOUBLE) / n_words, 0) AS top_word_share,
+  coalesce(CAST(ends AS DOUBLE) / n_lines, 0) AS final_punctuation_share, coalesce(CAST(dots AS DOUBLE) / n_lines, 0) AS ellipsis_line_share,
+  coalesce(CAST(bullets AS DOUBLE) / n_lines, 0) AS bullet_line_share, coalesce(CAST(item_words AS DOUBLE) / n_words, 0) AS item_word_share,
+  coalesce(CAST(item_words AS DOUBLE) / nullif(items, 0), 0) AS words_per_item
+FROM texts LEFT JOIN by_word USING (doc_id) LEFT JOIN tops USING (doc_id) LEFT JOIN by_line USING (doc_id)"""
+
+
+def _p9_failed(rules: dict[str, str]) -> str:
+    return "concat_ws(',', " + ", ".join(f"CASE WHEN {rule} THEN '{name}' END" for name, rule in rules.items()) + ")"
+
+
 def oracle_sql() -> dict[str, str]:
     by_city = "SELECT substr(timestamp, 1, 10) AS edit_day, channel, cityName AS city_name, edit_id, added FROM wikipedia WHERE cityName IS NOT NULL"
+    figures = f"SELECT * FROM ({_p9_figures()})"
     return {
+        "p9_figures": f"SELECT *, {_p9_failed({**q.PUBLISHED, **q.RUNNING})} AS failed FROM ({figures})",
+        "p9_found": f"SELECT doc_id FROM ({figures}) WHERE {_p9_failed(q.RUNNING)} <> ''",
         "p5_found": _top(by_city, "edit_day, channel, city_name", 3, "edit_day, channel, city_name, edit_id"),
         "p5_by_channel": _top("SELECT channel, edit_id, added FROM wikipedia", "channel", 100, "channel, edit_id, added, rank_in_group"),
         "p6_found": " UNION ALL ".join(_p6_share(f, t) for f, t in _P6.items()),

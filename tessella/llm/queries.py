@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.frequent import frequent_values
+from tessella.llm.leakage import find_leaks
+from tessella.llm.quality import PUBLISHED, RUNNING, failed_rules, text_figures
 from tessella.llm.topn import top_n_per_group
 from tessella.session import table
 
@@ -50,10 +52,32 @@ def _p6_top_200(spark: SparkSession, folder: str) -> DataFrame:
     return _p6_named(spark, folder, k=200)
 
 
+def _p7_found(spark: SparkSession, folder: str) -> DataFrame:
+    return find_leaks(table(spark, folder, "documents"), table(spark, folder, "test_items"), "doc_id", "item_id")
+
+
+def _p7_items(spark: SparkSession, folder: str) -> DataFrame:
+    return _p7_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+
+
+def _p9_figures(spark: SparkSession, folder: str) -> DataFrame:
+    return text_figures(table(spark, folder, "documents"), "doc_id").withColumn(
+        "failed", F.array_join(failed_rules({**PUBLISHED, **RUNNING}), ",")
+    )
+
+
+def _p9_found(spark: SparkSession, folder: str) -> DataFrame:
+    return text_figures(table(spark, folder, "documents"), "doc_id").where(F.size(failed_rules(RUNNING)) > 0).select("doc_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "p5_found": _p5_found,
         "p5_by_channel": _p5_by_channel,
         "p6_found": _p6_found,
         "p6_top_200": _p6_top_200,
+        "p7_found": _p7_found,
+        "p7_items": _p7_items,
+        "p9_found": _p9_found,
+        "p9_figures": _p9_figures,
     }
