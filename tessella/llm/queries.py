@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.llm import distinct as sets
+from tessella.llm import percentiles as pct
 from tessella.llm.frequent import frequent_values
 from tessella.llm.leakage import find_leaks
+from tessella.llm.mixing import mix_sources
 from tessella.llm.quality import PUBLISHED, RUNNING, failed_rules, text_figures
 from tessella.llm.topn import top_n_per_group
 from tessella.session import table
@@ -16,6 +19,86 @@ from tessella.session import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+SHARES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
+
+
+def _p2_values(spark: SparkSession, folder: str) -> DataFrame:
+    """Prices by page, additions by channel, and page ids overall, as (field_name, group_key, value)."""
+    menu, wiki = table(spark, folder, "menuitem"), table(spark, folder, "wikipedia")
+
+    def part(field: str, key, value) -> Column:
+        return F.struct(F.lit(field).alias("field_name"), key.cast("string").alias("group_key"), value.cast("double").alias("value"))
+
+    page = F.col("menu_page_id")
+    prices = menu.select(F.inline(F.array(part("price", page, F.col("price")), part("menu_page_id", F.lit(None), page))))
+    return prices.unionByName(wiki.select(F.inline(F.array(part("added", F.col("channel"), F.col("added"))))))
+
+
+def _p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
+    by = ["field_name", "group_key"]
+    return pct.percentiles(pct.percentile_states(_p2_values(spark, folder), by, "value"), by, SHARES)
+
+
+def _p2_days(spark: SparkSession, folder: str) -> DataFrame:
+    edits = table(spark, folder, "wikipedia").select(F.substring("timestamp", 1, 10).alias("edit_day"), "channel", "added")
+    return pct.percentile_states(edits, ["edit_day", "channel"], "added")
+
+
+def _p2_merged_days(spark: SparkSession, folder: str) -> DataFrame:
+    """Additions per channel over all days, from the days' own states."""
+    return pct.percentiles(pct.merged(_p2_days(spark, folder), ["channel"]), ["channel"], SHARES)
+
+
+def _p2_without_anonymous(spark: SparkSession, folder: str) -> DataFrame:
+    """Additions per channel with those of anonymous edits taken out of the finished states again."""
+    wiki = table(spark, folder, "wikipedia")
+    whole = pct.percentile_states(wiki, ["channel"], "added")
+    taken = pct.negated(pct.percentile_states(wiki.where("isAnonymous"), ["channel"], "added"))
+    return pct.percentiles(pct.merged(whole.unionByName(taken), ["channel"]), ["channel"], SHARES)
+
+
+_P4_BY = ["field_name", "grouping", "day", "group_key"]
+
+
+def _p4_states(spark: SparkSession, folder: str) -> DataFrame:
+    """States for ids and pages by day and by page, and for countries by day, channel and both."""
+    menu, wiki = table(spark, folder, "menuitem"), table(spark, folder, "wikipedia")
+    day, page = F.date_format("created_at", "yyyy-MM-dd"), F.col("menu_page_id")
+    none = F.lit(None).cast("string")
+
+    def row(field: str, grouping: str, by_day, key, *values) -> Column:
+        named = zip(("field_name", "grouping", "day", "group_key", *(["value"] if len(values) == 1 else pct.NAMES)), (F.lit(field), F.lit(grouping), by_day, key, *values))
+        return F.struct(*(c.alias(name) for name, c in named))
+
+    ids = F.array(
+        row("id", "day", day, none, F.col("id")),
+        row("id", "page", none, page.cast("string"), F.col("id")),
+        row("menu_page_id", "day", day, none, page),
+    )
+    menu_parts = sets.distinct_states(menu.select(F.inline(ids)), _P4_BY, "value", merge=False)
+    edits = wiki.select(F.substring("timestamp", 1, 10).alias("edit_day"), "channel", "countryName")
+    parts = sets.distinct_states(edits, ["edit_day", "channel"], "countryName", merge=False)
+    state = [F.col(c) for c in pct.NAMES]
+    rolled = F.array(
+        row("countryName", "day", F.col("edit_day"), none, *state),
+        row("countryName", "channel", none, F.col("channel"), *state),
+        row("countryName", "day and channel", F.col("edit_day"), F.col("channel"), *state),
+    )
+    return sets.merged(menu_parts.unionByName(parts.select(F.inline(rolled))), _P4_BY)
+
+
+def _p4_distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return sets.distinct_counts(_p4_states(spark, folder), _P4_BY)
+
+
+def _p4_next_day(spark: SparkSession, folder: str) -> DataFrame:
+    """What the menu pages of each day, and the countries of each day, share with those of the next."""
+    days = _p4_states(spark, folder).where("grouping = 'day'").select("field_name", F.col("day").cast("date").alias("day"), F.struct(*pct.NAMES).alias("state"))
+    later = days.select("field_name", F.date_sub("day", 1).alias("day"), F.col("state").alias("right"))
+    pairs = days.withColumnRenamed("state", "left").join(later, ["field_name", "day"])
+    return sets.overlaps(pairs, ["field_name", "day"])
+
+
 def _p5_groups(spark: SparkSession, folder: str) -> DataFrame:
     return (
         table(spark, folder, "wikipedia")
@@ -60,6 +143,14 @@ def _p7_items(spark: SparkSession, folder: str) -> DataFrame:
     return _p7_found(spark, folder).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
 
 
+def _p8_selection(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[0]
+
+
+def _p8_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return mix_sources(table(spark, folder, "documents"), table(spark, folder, "source_targets"))[1]
+
+
 def _p9_figures(spark: SparkSession, folder: str) -> DataFrame:
     return text_figures(table(spark, folder, "documents"), "doc_id").withColumn(
         "failed", F.array_join(failed_rules({**PUBLISHED, **RUNNING}), ",")
@@ -72,12 +163,19 @@ def _p9_found(spark: SparkSession, folder: str) -> DataFrame:
 
 def queries() -> dict[str, Query]:
     return {
+        "p2_percentiles": _p2_percentiles,
+        "p2_merged_days": _p2_merged_days,
+        "p2_without_anonymous": _p2_without_anonymous,
+        "p4_distinct_counts": _p4_distinct_counts,
+        "p4_next_day": _p4_next_day,
         "p5_found": _p5_found,
         "p5_by_channel": _p5_by_channel,
         "p6_found": _p6_found,
         "p6_top_200": _p6_top_200,
         "p7_found": _p7_found,
         "p7_items": _p7_items,
+        "p8_selection": _p8_selection,
+        "p8_shares": _p8_shares,
         "p9_found": _p9_found,
         "p9_figures": _p9_figures,
     }
