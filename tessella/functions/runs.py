@@ -33,3 +33,15 @@ def key_of(batch: pa.RecordBatch, row: int, by: Sequence[str]) -> tuple:
     """The ``by`` values of one row, comparable with ``==`` (NaN equals NaN)."""
     values = (batch.column(name)[row].as_py() for name in by)
     return tuple("nan" if isinstance(v, float) and v != v else (v,) for v in values)
+
+
+def by_bytes(batch: pa.RecordBatch, column: str, most: int = 4 << 20):
+    """Slices of a batch that hold about ``most`` bytes of a string column each, or one longer row."""
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends = np.cumsum(sizes)
+    first = 0
+    while first < batch.num_rows:
+        before = ends[first - 1] if first else 0
+        last = max(first + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(first, last - first)
+        first = last

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella import dialect_queries
 from tessella.operators.keyed import aggregate_by_key, heavy_keys
 from tessella.operators.records import MENU_ITEM, load_records
 from tessella.session import table
@@ -86,6 +87,7 @@ HAVING COUNT(*) * 20 >= (SELECT COUNT("{f}") FROM wikipedia)"""
 
 def queries() -> dict[str, Query]:
     return {
+        **dialect_queries.queries(),
         "p1_found": _p1_found,
         "p1_loaded": _p1_loaded,
         "p1_by_file": _p1_by_file,
@@ -99,6 +101,7 @@ def queries() -> dict[str, Query]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        **dialect_queries.oracle_sql(),
         "p1_found": f"{_P1_BASE} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
         "p1_by_file": f"{_P1_BASE} SELECT file_name, COALESCE(reason, 'loaded') AS outcome, COUNT(*) AS n FROM judged GROUP BY ALL",
         "p3_found": _P3_FOUND,

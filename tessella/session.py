@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -53,3 +54,13 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="tessella-checkpoint-")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for a table to be written, in the shared folder of the cluster or, on one machine without one, a temporary one."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if shared is not None:
+        return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    return f"{tempfile.mkdtemp(prefix='tessella-')}/{name}"
