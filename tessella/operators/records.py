@@ -22,6 +22,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.session import spread
+
 BLANKS = " \t"
 #: Stand-ins for line breaks within a record while blocks are joined by line breaks.
 BREAKS = {"\n": "\x01", "\r": "\x02"}
@@ -93,8 +95,9 @@ def _typed_number(text: pa.Array) -> tuple[pa.Array, pa.Array]:
 def _typed_timestamp(text: pa.Array) -> tuple[pa.Array, pa.Array]:
     shaped = pc.match_substring_regex(text, r"\A[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}(?: UTC)?\z")
     cut = pc.utf8_slice_codeunits(_null_where(text, shaped), 0, 19)
-    values = pc.strptime(cut, format="%Y-%m-%d %H:%M:%S", unit="us", error_is_null=True)
-    return values, pc.is_valid(values)
+    values = pc.strptime(cut, format="%Y-%m-%d %H:%M:%S", unit="s", error_is_null=True)
+    same = pc.fill_null(pc.equal(pc.strftime(values, format="%Y-%m-%d %H:%M:%S"), cut), False)  # else February 30 were March 2
+    return _null_where(values, same).cast(pa.timestamp("us")), same
 
 
 def _judge_key(cell: str) -> bool:
@@ -289,4 +292,4 @@ def load_records(
             reasons, records = loader.batch(texts)
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], reasons, records], names=[*keep, reason, record])
 
-    return df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{raw}`").alias("__raw")).mapInArrow(run, schema)
+    return spread(df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{raw}`").alias("__raw"))).mapInArrow(run, schema)

@@ -64,3 +64,14 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{tempfile.mkdtemp(prefix='tessella-')}/{name}"
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    Only an input that is read in fewer partitions than that, and is small for it, is
+    shuffled; a large one stays where it is read. Meant for work that costs far more per
+    row than moving the row does.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
