@@ -128,7 +128,9 @@ class Registers:
         probability = lambda x: (p(u - v * x), p(v - u * x), 1 - p(u - v * x) - p(v - u * x))
         slopes = [(a - b) / (2 * step) for a, b in zip(probability(near + step), probability(near - step))]
         information = self.m * sum(s * s / max(q, 1e-12) for s, q in zip(slopes, probability(near)))
-        return j, 1 / sqrt(information) if information > 0 else 1.0
+        # the likelihood takes both counts as known; their own errors, alike as far as the sets are, come on top
+        counts = 2 * j * j * (1 - j) / self.m
+        return j, sqrt((1 / information if information > 0 else 1.0) + counts)
 
     def joint(self, left: np.ndarray, right: np.ndarray) -> dict[str, float]:
         """Estimates for two sketched sets."""

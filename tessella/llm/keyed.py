@@ -167,8 +167,15 @@ class Folder:
         return pa.RecordBatch.from_arrays([*(keys.column(k) for k in self.by), *lists, pa.array(data, pa.binary())], names=[*self.by, *NAMES])
 
 
-def _internal(by: Sequence[str]) -> list[str]:
-    return [f"__k{i}" for i in range(len(by))]
+def _keyed(df: DataFrame, by: Sequence[str], *more) -> tuple[DataFrame, list[str]]:
+    """``df`` with internal names for its keys, one that is always the same where there are none."""
+    keys = [f"__k{i}" for i in range(len(by))] or ["__all"]
+    columns = [F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)] or [F.lit(0).alias("__all")]
+    return df.select(*columns, *more), keys
+
+
+def _named(states: DataFrame, by: Sequence[str], keys: Sequence[str]) -> DataFrame:
+    return states.withColumnsRenamed(dict(zip(keys, by))) if by else states.drop("__all")
 
 
 def _checked(by: Sequence[str]) -> None:
@@ -183,21 +190,21 @@ def partial_states(df: DataFrame, by: Sequence[str], code, kind: Kind, weight=No
     is null take no part. ``weight`` is a Column of whole numbers, 1 if not given.
     """
     _checked(by)
-    keys = _internal(by)
-    rows = df.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)), code.alias("__code"), *([] if weight is None else [weight.cast("long").alias("__n")]))
+    rows, keys = _keyed(df, by, code.alias("__code"), *([] if weight is None else [weight.cast("long").alias("__n")]))
     rows = rows.where(F.col("__code").isNotNull())
     schema = T.StructType([*rows.schema.fields[: len(keys)], *PAYLOAD])
+    weighted = weight is not None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         folder = Folder(keys, kind, kind.carried)
         for batch in batches:
             codes = batch.column("__code").to_numpy(zero_copy_only=False)
             codes = codes if encode is None else encode(codes)
-            counts = np.ones(len(codes), np.int64) if weight is None else batch.column("__n").fill_null(0).to_numpy(zero_copy_only=False)
+            counts = np.ones(len(codes), np.int64) if not weighted else batch.column("__n").fill_null(0).to_numpy(zero_copy_only=False)
             yield from folder.feed(batch.select(keys), np.arange(len(codes)), codes, counts, [])
         yield from folder.end()
 
-    return rows.sortWithinPartitions(*keys).mapInArrow(run, schema).withColumnsRenamed(dict(zip(keys, by)))
+    return _named(rows.sortWithinPartitions(*keys).mapInArrow(run, schema), by, keys)
 
 
 def flat(batch: pa.RecordBatch, counted: bool):
@@ -218,8 +225,7 @@ def merge_states(states: DataFrame, by: Sequence[str], kind: Kind) -> DataFrame:
     no states; null keys are keys like any other.
     """
     _checked(by)
-    keys = _internal(by)
-    rows = states.select(*(F.col(f"`{c}`").alias(k) for c, k in zip(by, keys)), *NAMES)
+    rows, keys = _keyed(states, by, *NAMES)
     schema = T.StructType([*rows.schema.fields[: len(keys)], *PAYLOAD])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -230,5 +236,4 @@ def merge_states(states: DataFrame, by: Sequence[str], kind: Kind) -> DataFrame:
                 yield from folder.feed(part.select(keys), *flat(part, kind.counted))
         yield from folder.end()
 
-    placed = rows.repartition(*keys).sortWithinPartitions(*keys) if keys else rows.coalesce(1)
-    return placed.mapInArrow(run, schema).withColumnsRenamed(dict(zip(keys, by)))
+    return _named(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), by, keys)

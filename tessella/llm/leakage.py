@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.runs import by_bytes
+from tessella.session import spread
 
 MIN_WORDS, ONE_IN = 20, 5
 GRAM, WINDOW = 3, 2
@@ -285,6 +286,7 @@ def find_leaks(corpus: DataFrame, tests: DataFrame, doc_id: str, item_id: str, t
     blocks = max(1, -(-size // BLOCK_CHARS))
     kinds = pa.schema([pa.field(item_id, _arrow(schema[item_id].dataType)), pa.field(doc_id, _arrow(schema[doc_id].dataType))])
     documents = corpus.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
+    documents = spread(documents)
     results = None
     for block in range(blocks):
         rows = read.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()  # a block of bounded size

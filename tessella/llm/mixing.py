@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.runs import by_bytes
-from tessella.session import reliable_checkpoint
+from tessella.session import reliable_checkpoint, spread
 
 #: Sources that may be named, so that what the driver holds is bounded.
 MAX_SOURCES = 10_000
@@ -69,15 +69,18 @@ def count_tokens(df: DataFrame, text: str, tokenizer: tuple[str, str] | None = N
                 sizes = [len(encode(t)) if t else 0 for t in part.column(part.num_columns - 1).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(sizes, pa.int64())], names=schema.names)
 
-    return df.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(*(F.col(f"`{c}`") for c in others), F.col(f"`{text}`").alias("__text"))).mapInArrow(run, schema)
 
 
 def apportion(shares: Mapping[str, float], blocks: int) -> dict[str, int]:
-    """``blocks`` dealt out by largest remainder, at least one to every source with a share if they suffice."""
+    """``blocks`` dealt out by largest remainder, and at least one, of which there must be enough, to every source."""
     exact = {s: w * blocks for s, w in shares.items()}
     dealt = {s: int(x) for s, x in exact.items()}
-    for s in sorted(exact, key=lambda s: (dealt[s] > 0, dealt[s] - exact[s], s))[: blocks - sum(dealt.values())]:
+    for s in sorted(exact, key=lambda s: (dealt[s] - exact[s], s))[: blocks - sum(dealt.values())]:
         dealt[s] += 1
+    for s in [s for s, n in dealt.items() if n == 0]:
+        dealt[max(dealt, key=lambda s: (dealt[s], s))] -= 1
+        dealt[s] = 1
     return dealt
 
 

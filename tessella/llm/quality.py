@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.runs import by_bytes
+from tessella.session import spread
 
 #: Frequent function words of English, German and French.
 COMMON = {
@@ -149,7 +150,7 @@ def text_figures(df: DataFrame, doc_id: str, text: str = "text") -> DataFrame:
                 columns = [pa.array(of[k], pa.int64() if k.startswith("n_") else pa.float64()) for k in FIGURES]
                 yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=[doc_id, *FIGURES])
 
-    return df.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`").alias("__text")).mapInArrow(run, schema)
+    return spread(df.select(F.col(f"`{doc_id}`"), F.col(f"`{text}`").alias("__text"))).mapInArrow(run, schema)
 
 
 #: Rules by name, as SQL over the figures; a text fails a rule where it holds. These are the published ones,
