@@ -56,6 +56,7 @@ _UNDIVIDED = re.compile("[æœøđðþłıħŋſ]")
 #: A hyphen (also U+2010, U+2011 and the not sign of some scans) at the end of a line within a word.
 _BROKEN = re.compile(rf"(?<=[^\W\d_])[-{chr(0x2010)}{chr(0x2011)}{chr(0xAC)}][ \t]*\r?\n\s*(?=[^\W\d_])")
 _APOSTROPHE = re.compile(rf"(?<=\w)['{chr(0x2019)}{chr(0x2BC)}`](?=\w)")
+_QUOTES = re.compile(rf"['{chr(0x2019)}{chr(0x2BC)}`]")
 _BRACKETED = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
 _WORD = re.compile(r"[^\W_]+")
 
@@ -69,7 +70,9 @@ def plain(text: str) -> str:
             text = text.translate(_PLAIN)
     else:
         text = text.lower()
-    return _APOSTROPHE.sub("", _BROKEN.sub("", text))
+    if "\n" in text:
+        text = _BROKEN.sub("", text)
+    return _APOSTROPHE.sub("", text) if _QUOTES.search(text) else text
 
 
 def word_sequences(text: str) -> list[list[str]]:
@@ -178,6 +181,21 @@ def aligned(item: Sequence[str], doc: Sequence[str]) -> bool:
     return False
 
 
+def in_step(item: np.ndarray, doc: np.ndarray) -> bool:
+    """Is a stretch plain to see where item and document run in step, word for word? (False says nothing.)"""
+    i, j = np.nonzero(item[:, None] == doc[None, :])
+    if not len(i):
+        return False
+    shift = np.bincount(j - i + len(item))
+    best = int(shift.argmax())
+    if shift[best] < INTACT:
+        return False
+    same = np.zeros(len(item) + 1, np.int64)
+    same[1 + i[j - i + len(item) == best]] = 1
+    upto = np.cumsum(same)
+    return bool((upto[MIN_WORDS:] - upto[:-MIN_WORDS] >= INTACT).any())
+
+
 class Items:
     """A block of test items, ready to be looked up."""
 
@@ -197,6 +215,8 @@ class Items:
         self.first = np.append(self.first, len(pairs))
         self.owners = pairs[:, 1].astype(np.int64)
         self.vocabulary = [set(w) for w in sequences]
+        self.joined = [{a + b for a, b in zip(w, w[1:])} for w in sequences]
+        self.ids = [laid.ids[a:b] for a, b in zip(laid.firsts, laid.ends)]
 
     def found(self, texts: Sequence[str | None]) -> list[tuple[object, int]]:
         """(item, row) for each of the texts that holds a stretch of an item."""
@@ -229,23 +249,27 @@ class Items:
         for code in pair[count >= LEAST_GRAMS].tolist():
             d, i = divmod(code, len(self.words))
             key = (self.of[i], row[d])
-            if key not in out and any(aligned(self.words[i], part) for part in self.dense(i, sequences[d])):
+            if key in out:
+                continue
+            ids = laid.ids[laid.firsts[d] : laid.ends[d]]
+            if in_step(self.ids[i], ids[:REGION]) or any(aligned(self.words[i], part) for part in self.dense(i, sequences[d])):
                 out.add(key)
         return list(out)
 
     def dense(self, i: int, doc: Sequence[str]) -> Iterator[Sequence[str]]:
         """The parts of a document around windows with enough of the item's words, in bounded regions."""
-        vocabulary, words = self.vocabulary[i], self.words[i]
+        vocabulary, words, pairs = self.vocabulary[i], self.words[i], self.joined[i]
         among = np.fromiter((w in vocabulary for w in doc), np.int32, len(doc))
-        for j in range(len(doc) - 1):  # a word of the item written as two, or two as one
-            if not (among[j] and among[j + 1]) and doc[j] + doc[j + 1] in vocabulary:
-                among[j] = among[j + 1] = 1
-        pairs = {a + b for a, b in zip(words, words[1:])}
-        for j, w in enumerate(doc):
-            if not among[j] and w in pairs:
-                among[j] = 2
+        span = min(SPAN, len(doc))
+        if not vocabulary.isdisjoint(map(str.__add__, doc, doc[1:])) or not pairs.isdisjoint(doc):
+            # words of the item are written as two, or two as one; then a stretch may take up to twice the room
+            span = min(2 * SPAN, len(doc))
+            for j, w in enumerate(doc):
+                if not among[j] and w in pairs:
+                    among[j] = 2
+                if j and not (among[j - 1] and among[j]) and doc[j - 1] + w in vocabulary:
+                    among[j - 1], among[j] = max(1, among[j - 1]), max(1, among[j])
         total = np.concatenate([[0], np.cumsum(among)])
-        span = min(SPAN + MIN_WORDS, len(doc)) if len(pairs & set(doc)) else min(SPAN, len(doc))
         starts = np.flatnonzero(total[span:] - total[:-span] >= INTACT)
         if not len(starts):
             return
