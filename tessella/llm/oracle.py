@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from tessella.llm import quality as q
+from tessella.llm import shares as q2
 
 
 def _top(groups: str, keys: str, n: int, out: str) -> str:
@@ -61,8 +62,27 @@ def _p9_failed(rules: dict[str, str]) -> str:
 
 def oracle_sql() -> dict[str, str]:
     by_city = "SELECT substr(timestamp, 1, 10) AS edit_day, channel, cityName AS city_name, edit_id, added FROM wikipedia WHERE cityName IS NOT NULL"
+    shares = ", ".join(f"({p}::DOUBLE)" for p in q2.SHARES)
+    p2 = """SELECT 'price' AS field_name, CAST(menu_page_id AS VARCHAR) AS group_key, price AS value FROM menuitem
+UNION ALL SELECT 'menu_page_id', NULL, CAST(menu_page_id AS DOUBLE) FROM menuitem UNION ALL SELECT 'added', channel, CAST(added AS DOUBLE) FROM wikipedia"""
+    day, page, edit_day = "strftime(created_at, '%Y-%m-%d')", "CAST(menu_page_id AS VARCHAR)", "substr(timestamp, 1, 10)"
+    p4 = " UNION ALL ".join(
+        f"""SELECT '{field}' AS field_name, '{grouping}' AS grouping, {d} AS day, {k} AS group_key, COUNT(DISTINCT "{field}") AS n_exact, TRUE AS within
+FROM {table} WHERE "{field}" IS NOT NULL GROUP BY 1, 2, 3, 4"""
+        for field, grouping, table, d, k in (
+            ("id", "day", "menuitem", day, "CAST(NULL AS VARCHAR)"),
+            ("id", "page", "menuitem", "CAST(NULL AS VARCHAR)", page),
+            ("menu_page_id", "day", "menuitem", day, "CAST(NULL AS VARCHAR)"),
+            ("countryName", "day", "wikipedia", edit_day, "CAST(NULL AS VARCHAR)"),
+            ("countryName", "channel", "wikipedia", "CAST(NULL AS VARCHAR)", "channel"),
+            ("countryName", "day and channel", "wikipedia", edit_day, "channel"),
+        )
+    )
     figures = f"SELECT * FROM ({_p9_figures()})"
     return {
+        "p2_checked": f"""SELECT field_name, group_key, share, COUNT(*) AS n_exact, TRUE AS within FROM ({p2}), (VALUES {shares}) AS s(share)
+WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2, 3""",
+        "p4_checked": p4,
         "p9_figures": f"SELECT *, {_p9_failed({**q.PUBLISHED, **q.RUNNING})} AS failed FROM ({figures})",
         "p9_found": f"SELECT doc_id FROM ({figures}) WHERE {_p9_failed(q.RUNNING)} <> ''",
         "p5_found": _top(by_city, "edit_day, channel, city_name", 3, "edit_day, channel, city_name, edit_id"),

@@ -13,15 +13,13 @@ from tessella.llm.frequent import frequent_values
 from tessella.llm.leakage import find_leaks
 from tessella.llm.mixing import mix_sources
 from tessella.llm.quality import PUBLISHED, RUNNING, failed_rules, text_figures
+from tessella.llm.shares import SHARES
 from tessella.llm.topn import top_n_per_group
 from tessella.session import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-SHARES = [0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99]
-
-
 def _p2_values(spark: SparkSession, folder: str) -> DataFrame:
     """Prices by page, additions by channel, and page ids overall, as (field_name, group_key, value)."""
     menu, wiki = table(spark, folder, "menuitem"), table(spark, folder, "wikipedia")
@@ -39,6 +37,22 @@ def _p2_percentiles(spark: SparkSession, folder: str) -> DataFrame:
     return pct.percentiles(pct.percentile_states(_p2_values(spark, folder), by, "value"), by, SHARES)
 
 
+def _p2_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each percentile's true ranks come within its stated error of the rank asked for."""
+    by = ["field_name", "group_key"]
+    values = _p2_values(spark, folder).where("value IS NOT NULL AND NOT isnan(value)")
+    counts = values.groupBy(*by, F.col("value").alias("v")).agg(F.count(F.lit(1)).alias("c"))
+    found = pct.percentiles(pct.percentile_states(values, by, "value"), by, SHARES)
+    same = (counts["field_name"] == found["field_name"]) & counts["group_key"].eqNullSafe(found["group_key"])
+    ranks = counts.join(found, same).groupBy(found["field_name"], found["group_key"], "n", "share", "rank_error")
+    ranks = ranks.agg(
+        F.sum("c").alias("n_exact"), F.sum(F.when(F.col("v") < F.col("value"), F.col("c")).otherwise(0)).alias("below"), F.sum(F.when(F.col("v") <= F.col("value"), F.col("c")).otherwise(0)).alias("upto")
+    )
+    rank = F.greatest(F.lit(1), F.ceil(F.col("share") * F.col("n")))
+    within = (rank >= F.col("below") + 1 - F.col("rank_error")) & (rank <= F.col("upto") + F.col("rank_error")) & (F.col("n") == F.col("n_exact"))
+    return ranks.select(*by, "share", "n_exact", within.alias("within"))
+
+
 def _p2_days(spark: SparkSession, folder: str) -> DataFrame:
     edits = table(spark, folder, "wikipedia").select(F.substring("timestamp", 1, 10).alias("edit_day"), "channel", "added")
     return pct.percentile_states(edits, ["edit_day", "channel"], "added")
@@ -91,6 +105,25 @@ def _p4_distinct_counts(spark: SparkSession, folder: str) -> DataFrame:
     return sets.distinct_counts(_p4_states(spark, folder), _P4_BY)
 
 
+def _p4_checked(spark: SparkSession, folder: str) -> DataFrame:
+    """Whether each estimate comes within five standard errors of the exact count."""
+    menu, wiki = table(spark, folder, "menuitem"), table(spark, folder, "wikipedia")
+    day, page = F.date_format("created_at", "yyyy-MM-dd"), F.col("menu_page_id").cast("string")
+    edit_day, none = F.substring("timestamp", 1, 10), F.lit(None).cast("string")
+
+    def each(*rows) -> Column:
+        return F.inline(F.array(*(F.struct(F.lit(f).alias("f"), F.lit(g).alias("g"), d.alias("d"), k.alias("k"), v.cast("string").alias("v")) for f, g, d, k, v in rows)))
+
+    values = menu.select(each(("id", "day", day, none, F.col("id")), ("id", "page", none, page, F.col("id")), ("menu_page_id", "day", day, none, page)))
+    country, channel = F.col("countryName"), F.col("channel")
+    edits = wiki.select(each(("countryName", "day", edit_day, none, country), ("countryName", "channel", none, channel, country), ("countryName", "day and channel", edit_day, channel, country)))
+    exact = values.unionByName(edits).where("v IS NOT NULL").distinct().groupBy("f", "g", "d", "k").agg(F.count(F.lit(1)).alias("n_exact"))
+    found = _p4_distinct_counts(spark, folder)
+    same = (F.col("f") == F.col("field_name")) & (F.col("g") == F.col("grouping")) & F.col("d").eqNullSafe(F.col("day")) & F.col("k").eqNullSafe(F.col("group_key"))
+    within = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 5 * F.col("standard_error")
+    return exact.join(found, same, "left").select(F.col("f").alias("field_name"), F.col("g").alias("grouping"), F.col("d").alias("day"), F.col("k").alias("group_key"), "n_exact", F.coalesce(within, F.lit(False)).alias("within"))
+
+
 def _p4_next_day(spark: SparkSession, folder: str) -> DataFrame:
     """What the menu pages of each day, and the countries of each day, share with those of the next."""
     days = _p4_states(spark, folder).where("grouping = 'day'").select("field_name", F.col("day").cast("date").alias("day"), F.struct(*pct.NAMES).alias("state"))
@@ -164,9 +197,11 @@ def _p9_found(spark: SparkSession, folder: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     return {
         "p2_percentiles": _p2_percentiles,
+        "p2_checked": _p2_checked,
         "p2_merged_days": _p2_merged_days,
         "p2_without_anonymous": _p2_without_anonymous,
         "p4_distinct_counts": _p4_distinct_counts,
+        "p4_checked": _p4_checked,
         "p4_next_day": _p4_next_day,
         "p5_found": _p5_found,
         "p5_by_channel": _p5_by_channel,
