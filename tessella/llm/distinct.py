@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.keyed import NAMES, flat, merge_states, partial_states
+from tessella.llm.keyed import NAMES, flat, merge_states, partial_states, parts_of
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -153,12 +153,12 @@ def distinct_states(df: DataFrame, by: Sequence[str], value: str, kind: Register
     kind = kind or Registers()
     column = F.col(f"`{value}`")
     states = partial_states(df, by, F.when(column.isNotNull(), F.xxhash64(column)), kind)
-    return merge_states(states, by, kind) if merge else states
+    return merge_states(states, by, kind, parts_of(df)) if merge else states
 
 
-def merged(states: DataFrame, by: Sequence[str], kind: Registers | None = None) -> DataFrame:
-    """The states of coarser groups, or of several days or segments together."""
-    return merge_states(states, by, kind or Registers())
+def merged(states: DataFrame, by: Sequence[str], kind: Registers | None = None, parts: int = 1) -> DataFrame:
+    """The states of coarser groups, or of several days or segments together; see :func:`merge_states` for ``parts``."""
+    return merge_states(states, by, kind or Registers(), parts)
 
 
 def distinct_counts(states: DataFrame, by: Sequence[str], kind: Registers | None = None) -> DataFrame:

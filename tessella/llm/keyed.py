@@ -28,6 +28,8 @@ PAYLOAD = [
     T.StructField("sketch", T.BinaryType()),
 ]
 NAMES = [f.name for f in PAYLOAD]
+#: States of one group that are merged in one task, about.
+FAN = 256
 
 
 class Kind(Protocol):
@@ -218,22 +220,42 @@ def flat(batch: pa.RecordBatch, counted: bool):
     return row, codes, counts, packed
 
 
-def merge_states(states: DataFrame, by: Sequence[str], kind: Kind) -> DataFrame:
-    """One state per group of ``by``, from any number of states of finer groups, segments or days.
-
-    A group whose codes all cancel out is left with an empty list. An empty table gives
-    no states; null keys are keys like any other.
-    """
-    _checked(by)
-    rows, keys = _keyed(states, by, *NAMES)
-    schema = T.StructType([*rows.schema.fields[: len(keys)], *PAYLOAD])
+def _merge_once(rows: DataFrame, keys: Sequence[str], kind: Kind, capacity: int) -> DataFrame:
+    """One state for each combination of ``keys``, the first columns of ``rows``."""
+    schema = T.StructType([*(rows.schema[k] for k in keys), *PAYLOAD])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        folder = Folder(keys, kind, kind.capacity)
+        folder = Folder(keys, kind, capacity)
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
                 yield from folder.feed(part.select(keys), *flat(part, kind.counted))
         yield from folder.end()
 
-    return _named(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema), by, keys)
+    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def merge_states(states: DataFrame, by: Sequence[str], kind: Kind, parts: int = 1) -> DataFrame:
+    """One state per group of ``by``, from any number of states of finer groups, segments or days.
+
+    ``parts`` is the number of partitions that may each hold a state of the same group. Where
+    it is above ``FAN``, states are first merged by group and share of the partitions, so
+    that no task meets more than about ``FAN`` states of a group, however many partitions
+    it lies in. A group whose codes all cancel out is left with an empty list. An empty
+    table gives no states; null keys are keys like any other.
+    """
+    _checked(by)
+    rows, keys = _keyed(states, by, *NAMES)
+    shares = -(-parts // FAN)
+    if shares > 1:
+        rows = rows.withColumn("__share", F.spark_partition_id())
+    while shares > 1:
+        rows = rows.withColumn("__share", F.pmod("__share", F.lit(shares)))
+        rows = _merge_once(rows.select(*keys, "__share", *NAMES), [*keys, "__share"], kind, kind.carried)
+        shares = -(-shares // FAN) if shares > FAN else 1
+    return _named(_merge_once(rows.select(*keys, *NAMES), keys, kind, kind.capacity), by, keys)
+
+
+def parts_of(df: DataFrame) -> int:
+    """In how many partitions a DataFrame is read."""
+    return df.rdd.getNumPartitions()

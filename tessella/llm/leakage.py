@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
+import uuid
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -302,6 +303,17 @@ def _held(values: np.ndarray, held: np.ndarray) -> np.ndarray:
     return held[place] == values if len(held) else np.zeros(len(values), bool)
 
 
+_prepared: dict[str, Items] = {}
+
+
+def _ready(token: str, held) -> Items:
+    """A block of items, prepared once in each worker process and kept while it is in use."""
+    if token not in _prepared:
+        _prepared.clear()
+        _prepared[token] = Items(*held.value)
+    return _prepared[token]
+
+
 def find_leaks(corpus: DataFrame, tests: DataFrame, doc_id: str, item_id: str, text: str = "text") -> DataFrame:
     """(``item_id``, ``doc_id``): every document that holds a stretch of a test item, with each item it holds.
 
@@ -329,8 +341,8 @@ def find_leaks(corpus: DataFrame, tests: DataFrame, doc_id: str, item_id: str, t
         rows = read.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()  # a block of bounded size
         held = spark.sparkContext.broadcast(([r["i"] for r in rows], [r["t"] for r in rows]))
 
-        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            items = Items(*held.value)
+        def run(batches: Iterator[pa.RecordBatch], held=held, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
+            items = _ready(token, held)
             for batch in batches:
                 for part in by_bytes(batch, "t"):
                     pairs = items.found(part.column("t").to_pylist())

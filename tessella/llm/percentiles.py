@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.keyed import NAMES, flat, merge_states, partial_states
+from tessella.llm.keyed import NAMES, flat, merge_states, partial_states, parts_of
 
 SIGN = np.uint64(1 << 63)
 
@@ -138,7 +138,7 @@ def percentile_states(df: DataFrame, by: Sequence[str], value: str, kind: Dyadic
     kind = kind or Dyadic()
     number = F.col(f"`{value}`").cast("double")
     states = partial_states(df, by, F.when(~F.isnan(number), number), kind, None if weight is None else F.col(f"`{weight}`"), encode_double)
-    return merge_states(states, by, kind)
+    return merge_states(states, by, kind, parts_of(df))
 
 
 def merged(states: DataFrame, by: Sequence[str], kind: Dyadic | None = None) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tessella.llm import distinct as sets
 from tessella.llm import percentiles as pct
 from tessella.llm.frequent import frequent_values
+from tessella.llm.keyed import parts_of
 from tessella.llm.leakage import find_leaks
 from tessella.llm.mixing import mix_sources
 from tessella.llm.quality import PUBLISHED, RUNNING, failed_rules, text_figures
@@ -98,7 +99,7 @@ def _p4_states(spark: SparkSession, folder: str) -> DataFrame:
         row("countryName", "channel", none, F.col("channel"), *state),
         row("countryName", "day and channel", F.col("edit_day"), F.col("channel"), *state),
     )
-    return sets.merged(menu_parts.unionByName(parts.select(F.inline(rolled))), _P4_BY)
+    return sets.merged(menu_parts.unionByName(parts.select(F.inline(rolled))), _P4_BY, parts=parts_of(menu) + parts_of(wiki))
 
 
 def _p4_distinct_counts(spark: SparkSession, folder: str) -> DataFrame:

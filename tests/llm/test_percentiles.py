@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tessella.llm import keyed
 from tessella.llm.percentiles import Dyadic, decode_double, encode_double, merged, negated, percentile_states, percentiles
 
 SHARES = [0.001, 0.01, 0.1, 0.25, 0.5, 0.75, 0.9, 0.99, 1.0]
@@ -74,6 +75,16 @@ def test_values_can_be_taken_out_again(frame, data):
     assert percentiles(all_out, ["g"], SHARES, KIND).count() == 0
 
 
+def test_merging_in_stages_gives_the_same_sketch(frame, monkeypatch):
+    whole = percentile_states(frame, ["g"], "v", KIND)
+    monkeypatch.setattr(keyed, "FAN", 2)
+    staged = percentile_states(frame, ["g"], "v", KIND)
+    plan = staged._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") >= 3
+    one, other = ({(r["g"], r["share"]): (r["n"], r["value"]) for r in percentiles(s, ["g"], SHARES, KIND).collect()} for s in (whole, staged))
+    assert one == other
+
+
 def test_weights(spark):
     frame = spark.createDataFrame([(5, 3), (7, 1), (9, None), (5, -3), (8, 1)], "v long, w long")
     rows = percentiles(percentile_states(frame, [], "v", weight="w"), [], [0.5, 1.0]).collect()
