@@ -68,17 +68,18 @@ class Registers:
     def add(self, sketch: np.ndarray, codes: np.ndarray, counts: np.ndarray | None = None) -> None:
         """Let each element draw its numbers in ascending order, up to the last that can raise a register."""
         hashes = _mix(codes.view(np.uint64))
-        at, size = 0, 64
+        at, size = 0, 16
         while at < len(hashes):
             h = hashes[at : at + size]
             at += size
-            size = min(2 * size, 1 << 15)
+            size = min(at, 1 << 15)
             key = _mix(h ^ GOLDEN)
             sofar = np.zeros(len(h))
             step = 0
             while len(h) and step < self.m:
                 enough = exp(-self.ln_b * int(sketch.min()))  # a number above this raises no register
-                n = int(min(self.m - step, max(1, self.DRAWS // len(h)), max(4, 2 * step)))
+                expected = self.m * (1 - exp(-self.a * enough))  # numbers below it that an element draws, on average
+                n = int(min(self.m - step, max(1, self.DRAWS // len(h)), 4 + (expected if step == 0 else expected / 2)))
                 steps = np.arange(step, step + n, dtype=np.uint64)
                 uniform = ((_mix(h[:, None] + (steps + np.uint64(1)) * GOLDEN) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
                 drawn = sofar[:, None] + np.cumsum(-np.log(uniform) / (self.a * (self.m - steps.astype(np.float64))), axis=1)

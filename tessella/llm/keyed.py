@@ -232,7 +232,9 @@ def _merge_once(rows: DataFrame, keys: Sequence[str], kind: Kind, capacity: int)
                 yield from folder.feed(part.select(keys), *flat(part, kind.counted))
         yield from folder.end()
 
-    return rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+    # a number that is given is kept: few bytes of states are still much work, which must not be put into one task
+    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
 def merge_states(states: DataFrame, by: Sequence[str], kind: Kind, parts: int = 1) -> DataFrame:
