@@ -40,7 +40,7 @@ flags AS (SELECT doc_id, w, bare, regexp_matches(bare, {_quote(q.PLAIN)}) AS pla
 by_word AS (SELECT doc_id, COUNT(*) AS n_words, SUM(length(w)) AS n_letters, COUNT(*) FILTER (regexp_matches(w, '\\pL')) AS lettered,
   COUNT(*) FILTER (plain) AS plain, COUNT(*) FILTER (plain AND common) AS common, COUNT(DISTINCT CASE WHEN bare IN ({stops}) THEN bare END) AS stops
   FROM flags GROUP BY doc_id),
-tops AS (SELECT doc_id, MAX(n) AS top FROM (SELECT doc_id, bare, COUNT(*) AS n FROM tokens GROUP BY ALL) GROUP BY doc_id),
+tops AS (SELECT doc_id, MAX(n) AS top, COUNT(*) AS kinds FROM (SELECT doc_id, bare, COUNT(*) AS n FROM tokens GROUP BY ALL) GROUP BY doc_id),
 lines AS (SELECT doc_id, line, regexp_matches(line, {_quote(q.SENTENCE_END)}) AS ends, regexp_matches(line, {_quote(q.BULLET)}) AS bullet,
   regexp_matches(line, {_quote(q.ELLIPSIS_END)}) AS dots, len(regexp_extract_all(line, {_quote(q.TOKEN)})) AS n
   FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS line FROM texts) WHERE regexp_matches(line, '[^\\pZ\\s]')),
@@ -50,6 +50,7 @@ SELECT doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_lines, 0) AS n_lines,
   coalesce(CAST(len(regexp_extract_all(t, {_quote(q.SYMBOLS)})) AS DOUBLE) / n_words, 0) AS symbol_ratio,
   coalesce(CAST(lettered AS DOUBLE) / n_words, 0) AS letter_word_share, coalesce(CAST(plain AS DOUBLE) / n_words, 0) AS plain_word_share,
   coalesce(CAST(common AS DOUBLE) / n_words, 0) AS common_word_share, coalesce(stops, 0) AS n_stop_words, coalesce(CAST(top AS DOUBLE) / n_words, 0) AS top_word_share,
+  coalesce(CAST(kinds AS DOUBLE) / n_words, 0) AS distinct_word_share,
   coalesce(CAST(ends AS DOUBLE) / n_lines, 0) AS final_punctuation_share, coalesce(CAST(dots AS DOUBLE) / n_lines, 0) AS ellipsis_line_share,
   coalesce(CAST(bullets AS DOUBLE) / n_lines, 0) AS bullet_line_share, coalesce(CAST(item_words AS DOUBLE) / n_words, 0) AS item_word_share,
   coalesce(CAST(item_words AS DOUBLE) / nullif(items, 0), 0) AS words_per_item

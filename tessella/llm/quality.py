@@ -52,6 +52,7 @@ FIGURES = {
     "common_word_share": T.DoubleType(),
     "n_stop_words": T.LongType(),
     "top_word_share": T.DoubleType(),
+    "distinct_word_share": T.DoubleType(),
     "final_punctuation_share": T.DoubleType(),
     "ellipsis_line_share": T.DoubleType(),
     "bullet_line_share": T.DoubleType(),
@@ -124,6 +125,7 @@ def figures(texts: pa.Array) -> dict[str, np.ndarray]:
         "common_word_share": share(words(plain & common), n_words),
         "n_stop_words": stops,
         "top_word_share": share(top, n_words),
+        "distinct_word_share": share(np.bincount(used // width, minlength=n), n_words),
         "final_punctuation_share": share(total(ends, line_of), n_lines),
         "ellipsis_line_share": share(total(_flag(lines, ELLIPSIS_END), line_of), n_lines),
         "bullet_line_share": share(total(bullet, line_of), n_lines),
@@ -167,8 +169,9 @@ PUBLISHED = {
 #: Rules against texts whose words form no sentences; none of them looks at length, figures or layout alone.
 RUNNING = {
     "few_plain_words": "plain_word_share < 0.5 AND n_words > 0",
-    "few_common_words": "(common_word_share < 0.22 AND n_words >= 10) OR (common_word_share < 0.15 AND n_words BETWEEN 1 AND 9)",
+    "few_common_words": "common_word_share < 0.22 AND (n_words >= 30 OR n_words >= 20 AND final_punctuation_share < 0.5)",
     "one_word_repeated": "top_word_share > 0.3 AND n_words >= 10",
+    "few_different_words": "common_word_share < 0.35 AND final_punctuation_share < 0.2 AND (distinct_word_share < 0.4 AND n_words BETWEEN 20 AND 200 OR distinct_word_share < 0.6 AND n_words BETWEEN 20 AND 60)",
     "endless_words": "mean_word_length > 15",
     "list_items": "item_word_share >= 0.5 AND words_per_item <= 15 AND (common_word_share < 0.32 OR words_per_item <= 6.5)",
 }

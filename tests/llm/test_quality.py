@@ -38,14 +38,14 @@ def cases(spark, texts):
 
 
 def test_rules(spark):
-    prose = [PROSE, GERMAN, FRENCH, PROSE.lower().replace(".", "").replace(",", ""), PROSE.upper(), PROSE.replace(" ", "\n"), "\n".join(f"- {p}" for p in (PROSE, GERMAN)), PROSE + "\n" + ITEMS[0] + "\n" + ITEMS[1], "I call the next speaker.", "", None]
-    bad = ["\n".join(ITEMS), "a | 1 | 2\nb | 3 | 4\nc | 5 | 6\nd | 7 | 8", "the " * 50, "qz;x |~ _o <1> ^k *f ;; p\\ q|" * 5, "Home › Log in › Search › Help › Share › RSS › Home › Log in", "QUJDREVGR0hJSktMTU5PUA==" * 4, "a. die Lage der Straßen\nb. der Schutz der Küste\nc. la réforme des ports\ni. le prix de l'eau"]
+    prose = [PROSE, GERMAN, FRENCH, PROSE.lower().replace(".", "").replace(",", ""), PROSE.upper(), PROSE.replace(" ", "\n"), "\n".join(f"- {p}" for p in (PROSE, GERMAN)), PROSE + "\n" + ITEMS[0] + "\n" + ITEMS[1], "I call the next speaker.", "ROADS BILL\n\nAmendment, by leave, withdrawn.", "", None]
+    bad = ["Members\nContact us\nShare\nArchive\nContact us\nBack to top\nContact us\nShare\nLog in\nArchive\nBack to top\nShare\nContact us\nLog in", "\n".join(ITEMS), "a | 1 | 2\nb | 3 | 4\nc | 5 | 6\nd | 7 | 8", "the " * 50, "qz;x |~ _o <1> ^k *f ;; p\\ q|" * 5, "Home › Log in › Search › Help › Share › RSS › Home › Log in", "QUJDREVGR0hJSktMTU5PUA==" * 4, "a. die Lage der Straßen\nb. der Schutz der Küste\nc. la réforme des ports\ni. le prix de l'eau"]
     found = cases(spark, prose + bad)
     for i in range(len(prose)):
         assert found[i]["running"] == [], (prose[i], found[i])
     for i in range(len(prose), len(prose) + len(bad)):
         assert found[i]["running"], (bad[i - len(prose)], found[i])
-    assert "word_count" in found[0]["published"] and "bullet_lines" in found[len(prose)]["published"]
+    assert "word_count" in found[0]["published"] and "bullet_lines" in found[len(prose) + 1]["published"]
 
 
 def test_labelled_sample(spark, small):
