@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from math import ceil
 
 from pyspark.errors import AnalysisException
@@ -60,16 +61,21 @@ class Table:
         return cls.write(read_source(spark, source, typed, multi_line), path, num_segments)
 
     @classmethod
-    def write(cls, frame: DataFrame, path: str, num_segments: int = 1, mode: str = "overwrite") -> Table:
-        """Write a DataFrame as a table. Row i of n goes to segment i // ceil(n / num_segments)."""
+    def write(cls, frame: DataFrame, path: str, num_segments: int = 1, index: Sequence[str] = ()) -> Table:
+        """Write a DataFrame as a table over whatever was at ``path``. Row i of n goes to segment i // ceil(n / num_segments).
+
+        The columns of ``index`` get bloom filters, by which equality filters skip row groups
+        that cannot hold their value; dictionaries and value ranges do so for every column.
+        """
         if num_segments < 1:
             raise ValueError("num_segments must be at least 1")
         if set(HIDDEN) & set(frame.columns):
             raise ValueError(f"columns may not be named {' or '.join(HIDDEN)}")
         numbered, n = _numbered(frame)
         size = max(1, ceil(n / num_segments))
-        numbered.withColumn(SEGMENT, F.floor(F.col(ROW) / size).cast("int")).write.mode(mode).partitionBy(SEGMENT).parquet(path)
-        return cls.from_data_dir(frame.sparkSession, path) if n or mode == "append" else cls(numbered.withColumn(SEGMENT, F.lit(0)))
+        blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in index}
+        numbered.withColumn(SEGMENT, F.floor(F.col(ROW) / size).cast("int")).write.mode("overwrite").options(**blooms).partitionBy(SEGMENT).parquet(path)
+        return cls.from_data_dir(frame.sparkSession, path) if n else cls(numbered.withColumn(SEGMENT, F.lit(0)))
 
     def append(self, frame: DataFrame, path: str) -> Table:
         """Add rows as one more segment after those there are."""

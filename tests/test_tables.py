@@ -75,6 +75,17 @@ def test_rows_are_numbered_over_many_partitions(spark, tmp_path):
     assert table.frame.where("id <> _row").count() == 0
 
 
+def test_indexed_columns_get_bloom_filters(spark, tmp_path):
+    frame = spark.range(200_000).selectExpr("cast(id * 7 as string) as k", "id % 3 as v")
+    sizes = []
+    for index in ((), ("k",)):
+        path = tmp_path / f"t{len(index)}"
+        table = Table.write(frame, str(path), 2, index=index)
+        assert QueryExecutor(table).execute("SELECT v WHERE k = '77'").get_results() == [[2]]
+        sizes.append(sum(f.stat().st_size for f in path.rglob("*.parquet")))
+    assert sizes[1] > sizes[0]
+
+
 def test_ingest_again_leaves_nothing_behind(spark, tmp_path):
     path = str(tmp_path / "t")
     Table.write(spark.range(100), path, 4)
