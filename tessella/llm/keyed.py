@@ -220,7 +220,7 @@ def flat(batch: pa.RecordBatch, counted: bool):
     return row, codes, counts, packed
 
 
-def _merge_once(rows: DataFrame, keys: Sequence[str], kind: Kind, capacity: int) -> DataFrame:
+def _merge_once(rows: DataFrame, keys: Sequence[str], kind: Kind, capacity: int, parts: int) -> DataFrame:
     """One state for each combination of ``keys``, the first columns of ``rows``."""
     schema = T.StructType([*(rows.schema[k] for k in keys), *PAYLOAD])
 
@@ -233,7 +233,8 @@ def _merge_once(rows: DataFrame, keys: Sequence[str], kind: Kind, capacity: int)
         yield from folder.end()
 
     # a number that is given is kept: few bytes of states are still much work, which must not be put into one task
-    count = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spark = rows.sparkSession
+    count = min(int(spark.conf.get("spark.sql.shuffle.partitions")), max(2 * spark.sparkContext.defaultParallelism, parts))
     return rows.repartition(count, *keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
 
 
@@ -253,9 +254,9 @@ def merge_states(states: DataFrame, by: Sequence[str], kind: Kind, parts: int =
         rows = rows.withColumn("__share", F.spark_partition_id())
     while shares > 1:
         rows = rows.withColumn("__share", F.pmod("__share", F.lit(shares)))
-        rows = _merge_once(rows.select(*keys, "__share", *NAMES), [*keys, "__share"], kind, kind.carried)
+        rows = _merge_once(rows.select(*keys, "__share", *NAMES), [*keys, "__share"], kind, kind.carried, parts)
         shares = -(-shares // FAN) if shares > FAN else 1
-    return _named(_merge_once(rows.select(*keys, *NAMES), keys, kind, kind.capacity), by, keys)
+    return _named(_merge_once(rows.select(*keys, *NAMES), keys, kind, kind.capacity, parts), by, keys)
 
 
 def parts_of(df: DataFrame) -> int:
