@@ -1,154 +1,249 @@
 """Test passages inside a corpus, found by winnowed fingerprints and extended to edited stretches.
 
-Every text becomes a sequence of plain words. Three words in a row make a gram, and of
-the grams in each window of two the one with the smaller hash is kept (winnowing), so
-two texts with four words in a row in common always share a kept gram. A stretch of at
-least ``MIN_WORDS`` words of which at most one in ``ONE_IN`` is altered always holds
-four intact words in a row and, in all, at least six intact grams. So a pair of item
-and document that shares a kept gram is counted by all its grams, pairs with six or
-more are narrowed to the windows dense in the item's words, and those are aligned
-exactly. The corpus is read once, without a shuffle, against blocks of test items
-whose size is checked.
+Fingerprints are grams of bare letters (:mod:`tessella.llm.letters`). Of a test
+passage, those are chosen that the corpus seems to hold least often, as long as every
+stretch that counts, with as many words altered as may be, must keep one of them
+intact; this is proved for each passage by letting an adversary alter words as cheaply
+as can be. The choice only decides how much is compared in vain. The corpus is read
+once, whatever the number of passages: it leaves the surroundings of every place whose
+gram may be a chosen one. Those are joined with the passages by fingerprint, and each
+pair is aligned word by word.
 """
 
 from __future__ import annotations
 
-import re
-import unicodedata
-import uuid
 from collections.abc import Iterator, Sequence
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessella.functions.runs import by_bytes
-from tessella.session import spread
+from tessella.llm.letters import Laid
+from tessella.session import scratch_folder, spread
 
 MIN_WORDS, ONE_IN = 20, 5
-GRAM, WINDOW = 3, 2
-#: Intact words, and intact grams, that the shortest stretch with the most alterations must have.
 INTACT = MIN_WORDS - MIN_WORDS // ONE_IN
-LEAST_GRAMS = INTACT - (GRAM - 1) * (MIN_WORDS // ONE_IN + 1)
-#: Document words that hold the shortest stretch, with as many added as may be.
-SPAN = MIN_WORDS + MIN_WORDS // ONE_IN
-#: Longest bracketed remark, in words; a longer one is taken as text.
-REMARK = 40
-#: Characters of test items in one block that is sent to every executor.
-BLOCK_CHARS = 16 << 20
-#: Document words aligned at once.
-REGION = 4096
-
-
-def _class(*ranges: tuple[int, int]) -> re.Pattern:
-    """A pattern for one character of any of the code point ranges."""
-    return re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ranges) + "]")
-
-
-#: Invisible characters and combining marks, by code point.
-_INVISIBLE = _class((0xAD, 0xAD), (0x34F, 0x34F), (0x61C, 0x61C), (0x180B, 0x180E), (0x200B, 0x200F), (0x202A, 0x202E), (0x2060, 0x206F), (0xFE00, 0xFE0F), (0xFEFF, 0xFEFF))
-_MARKS = _class((0x300, 0x36F), (0x483, 0x489), (0x1AB0, 0x1AFF), (0x1DC0, 0x1DFF), (0x20D0, 0x20FF), (0xFE20, 0xFE2F))
-#: Letters that Unicode does not decompose, with their plain spelling.
-_PLAIN = str.maketrans({"æ": "ae", "œ": "oe", "ø": "o", "đ": "d", "ð": "d", "þ": "th", "ł": "l", "ı": "i", "ħ": "h", "ŋ": "n", "ſ": "s"})
-_UNDIVIDED = re.compile("[æœøđðþłıħŋſ]")
-#: A hyphen (also U+2010, U+2011 and the not sign of some scans) at the end of a line within a word.
-_BROKEN = re.compile(rf"(?<=[^\W\d_])[-{chr(0x2010)}{chr(0x2011)}{chr(0xAC)}][ \t]*\r?\n\s*(?=[^\W\d_])")
-_APOSTROPHE = re.compile(rf"(?<=\w)['{chr(0x2019)}{chr(0x2BC)}`](?=\w)")
-_QUOTES = re.compile(rf"['{chr(0x2019)}{chr(0x2BC)}`]")
-_BRACKETED = re.compile(r"\(([^()\[\]{}]*)\)|\[([^()\[\]{}]*)\]|\{([^()\[\]{}]*)\}")
-_WORD = re.compile(r"[^\W_]+")
-#: Quotes, dashes and dots of ordinary print, and all ASCII that is no letter or digit.
-_PRINT = re.compile("[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in ((0xA0, 0xA9), (0xAB, 0xB1), (0xB4, 0xB4), (0xB6, 0xB8), (0xBB, 0xBB), (0x2010, 0x2027), (0x2030, 0x205E))) + "]")
-_SPACED = {c: " " for c in range(128) if not chr(c).isalnum()}
-
-
-def plain(text: str) -> str:
-    """Lower case without accents, joined letters, invisible characters or words broken at line ends."""
-    if not text.isascii():
-        text = unicodedata.normalize("NFKD", _INVISIBLE.sub("", text))
-        text = _MARKS.sub("", text).casefold()
-        if _UNDIVIDED.search(text):
-            text = text.translate(_PLAIN)
-    else:
-        text = text.lower()
-    if "\n" in text:
-        text = _BROKEN.sub("", text)
-    return _APOSTROPHE.sub("", text) if _QUOTES.search(text) else text
-
-
-def _words(text: str) -> list[str]:
-    """What ``_WORD`` finds, faster where ordinary print is all there is."""
-    if not text.isascii():
-        text = _PRINT.sub(" ", text)
-        if not text.isascii():
-            return _WORD.findall(text)
-    return text.translate(_SPACED).split()
-
-
-def word_sequences(text: str) -> list[list[str]]:
-    """The words of a text without its bracketed remarks, and of each remark that could hold a stretch by itself."""
-    text = plain(text)
-    remarks: list[list[str]] = []
-
-    def out(match: re.Match) -> str:
-        inside = _words(match.group(match.lastindex) if match.lastindex else "")
-        if len(inside) > REMARK:
-            return " " + " ".join(inside) + " "
-        if len(inside) >= INTACT:
-            remarks.append(inside)
-        return " "
-
-    for _ in range(3):  # remarks within remarks
-        text, n = _BRACKETED.subn(out, text)
-        if not n:
-            break
-    return [_words(text), *remarks]
-
-
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(31))) * np.uint64(0x7FB5D329728EA185)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x81DADEF4BC2DD44D)
-    return x ^ (x >> np.uint64(33))
-
-
-class Words:
-    """Many word sequences laid end to end, as numbers that agree between texts."""
-
-    def __init__(self, sequences: Sequence[Sequence[str]]):
-        self.sizes = np.fromiter((len(s) for s in sequences), np.int64, len(sequences))
-        self.ends = np.cumsum(self.sizes)
-        self.firsts = self.ends - self.sizes
-        flat = pa.array([w for s in sequences for w in s], pa.string()).dictionary_encode()
-        numbers = np.fromiter((xxhash.xxh3_64_intdigest(w) for w in flat.dictionary.to_pylist()), np.uint64, len(flat.dictionary))
-        self.ids = numbers[flat.indices.to_numpy()] if len(flat) else np.zeros(0, np.uint64)
-        self.owner = np.repeat(np.arange(len(sequences)), self.sizes)
-
-    def grams(self) -> tuple[np.ndarray, np.ndarray]:
-        """Hash of each gram and the place of its first word, none across sequences."""
-        n = len(self.ids) - GRAM + 1
-        if n <= 0:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        with np.errstate(over="ignore"):
-            h = self.ids[:n].copy()
-            for k in range(1, GRAM):
-                h = _mix(h) * np.uint64(0x9E3779B97F4A7C15) + self.ids[k : n + k]
-            h = _mix(h)
-        at = np.flatnonzero(self.owner[:n] == self.owner[GRAM - 1 :])
-        return h[at], at
-
-    def kept(self, h: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """Which grams winnowing keeps: the smallest of each window, and a lone gram."""
-        keep = np.zeros(len(h), bool)
-        owner = self.owner[at]
-        inside = owner[1:] == owner[:-1]  # a window of two grams of one sequence
-        left = np.flatnonzero(inside)
-        keep[np.where(h[left + 1] <= h[left], left + 1, left)] = True
-        lone = np.ones(len(h), bool)
-        lone[left] = lone[left + 1] = False
-        return keep | lone
+#: A stretch of twice ``MIN_WORDS`` words holds a shorter one, so none longer has to be sought.
+LONGEST = 2 * MIN_WORDS - 1
+MOST = LONGEST // ONE_IN
+#: Letters that one altered or added word may have; a longer one counts as several.
+WORD_LETTERS = 24
+#: Letters in a gram, and grams in a window. A passage takes the first pair by which none of its
+#: stretches can be missed; the last one serves any passage, for four words have four letters.
+TIERS = ((8, 4), (5, 3), (3, 2))
+#: Choices of grams, of each of which a document must hold one to be compared with a passage.
+COVERS = 2
+#: Words of one segment of a passage, and words it shares with the next, so that a stretch lies in one of them.
+SEGMENT, SHARED = 160, LONGEST + 1
+#: Documents and characters from which the grams' frequencies are guessed, and the counters that hold them.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, COUNTER_BITS = 2048, 1 << 23, 20
+#: Bits of the filter that chosen grams pass, so many for each of them and at most 64 MB.
+BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 29
+FILTER_TASKS = 16
+#: Rows of fingerprints, and characters of passages, that are broadcast; more of them are joined by shuffles in ``SALTS`` copies.
+BROADCAST_ROWS, BROADCAST_CHARS, SALTS = 1 << 20, 1 << 24, 8
+#: Characters of documents laid out at once.
+SLICE = 1 << 18
+#: Letters of a gram by which words are found again that are spaced in another way.
+SHORT = 6
+
+
+class _Stretches:
+    """Tells which choices of grams no stretch of a passage can do without, whichever of its words are altered."""
+
+    def __init__(self, words: np.ndarray, reach: int):
+        """``words`` holds the letters of each word, ``reach`` those of a window."""
+        self.n, self.reach = len(words), reach
+        self.upto = np.concatenate([[0], np.cumsum(words)])
+        self.never = self.n + LONGEST + 1
+        self.checks = {a: np.arange(self.n - a * ONE_IN + 1) for a in range(MIN_WORDS // ONE_IN, MOST + 1) if self.n >= a * ONE_IN}
+
+    def keep(self, chosen: np.ndarray) -> bool:
+        """Does every stretch keep a chosen window whole? ``chosen`` are window numbers in ascending order.
+
+        Altering the word that would complete the first chosen window since the last
+        alteration is the cheapest way to keep none.
+        """
+        ends = np.append(chosen + self.reach, self.upto[-1] + 1)
+        altered = np.searchsorted(self.upto[1:], ends)  # the word that completes each window
+        altered[-1] = self.never
+        fate = altered[np.searchsorted(chosen, self.upto)]  # for a run from each word on
+        onward = np.minimum(fate + 1, self.n)
+        since = np.arange(self.n + 1)
+        for a in range(MOST + 1):
+            starts = self.checks.get(a)
+            if starts is not None and (fate[since[: len(starts)]] >= starts + a * ONE_IN).any():
+                return False
+            since = onward[since]
+        return True
+
+
+class Segment:
+    """A segment of a test passage: its words and the fingerprints to look for."""
+
+    def __init__(self, laid: Laid, reading: int, first: int, last: int, sizes: np.ndarray):
+        self.laid, self.first, self.last, self.sizes = laid, first, last, sizes
+
+    def choose(self, seen: np.ndarray | None) -> tuple[int, list[np.ndarray]]:
+        """The tier, and the hashes of up to ``COVERS`` choices of grams, given how often grams were seen by their counters.
+
+        Every stretch keeps a gram of each choice. For each, grams are given up from the
+        most frequent on, as long as no stretch is missed that way.
+        """
+        for tier, (k, w) in enumerate(TIERS):
+            h, _ = self.laid.grams(k)
+            own = h[self.first : self.last - k + 1]
+            if len(own) < w:
+                continue
+            kinds, kind = np.unique(np.lib.stride_tricks.sliding_window_view(own, w).min(axis=1), return_inverse=True)
+            stretches = _Stretches(self.sizes, k + w - 1)
+            left, covers = np.ones(len(kinds), bool), []
+            times = seen[(kinds >> np.uint64(64 - COUNTER_BITS)).astype(np.int64)] if seen is not None and tier == 0 else np.zeros(len(kinds), np.int64)
+            order = np.argsort(-times, kind="stable")
+            while len(covers) < COVERS and stretches.keep(np.flatnonzero(left[kind])):
+                chosen, candidates = left.copy(), order[left[order]]
+                at, size = 0, len(candidates)
+                while at < len(candidates):
+                    part = candidates[at : at + size]
+                    chosen[part] = False
+                    if stretches.keep(np.flatnonzero(chosen[kind])):
+                        at, size = at + len(part), 2 * size
+                    else:
+                        chosen[part] = True
+                        at, size = (at + 1, 1) if len(part) == 1 else (at, len(part) // 2)
+                covers.append(kinds[chosen])
+                left &= ~chosen
+            if covers:
+                return tier, covers
+        raise AssertionError("the last tier serves every passage")
+
+
+def segments(text: str) -> list[tuple[str, Segment]]:
+    """The words (parted by blanks) of each segment of each reading of a passage."""
+    laid = Laid([text])
+    out = []
+    for r, (first, last) in enumerate(zip(laid.firsts.tolist(), laid.ends.tolist())):
+        words, starts = laid.words(first, last)
+        at = 0
+        while len(words) - at >= MIN_WORDS:
+            part = words[at : at + SEGMENT]
+            a = first + int(starts[at])
+            b = first + (int(starts[at + SEGMENT]) if at + SEGMENT < len(words) else last - first)
+            out.append((" ".join(part), Segment(laid, r, a, b, np.fromiter(map(len, part), np.int64))))
+            if at + SEGMENT >= len(words):
+                break
+            at += SEGMENT - SHARED
+    return out
+
+
+def counters(texts: Sequence[str]) -> np.ndarray:
+    """How often a gram of each counter occurs in the texts."""
+    laid = Laid(texts)
+    h, whole = laid.grams(TIERS[0][0])
+    return np.bincount((h[whole] >> np.uint64(64 - COUNTER_BITS)).astype(np.int64), minlength=1 << COUNTER_BITS)
+
+
+def _places(h: np.ndarray, bits: int, turn: int) -> np.ndarray:
+    if turn:
+        h = h * np.uint64((0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)[turn - 1])
+    return (h >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def filter_of(h: np.ndarray, n: int) -> np.ndarray:
+    """A filter, of a size fit for ``n`` hashes, that these hashes pass; filters of one size are united by ``|``."""
+    bits = min(MOST_BITS, max(LEAST_BITS, (BITS_EACH * n).bit_length()))
+    marks = np.zeros(1 << (bits - 3), np.uint8)
+    for turn in range(3):
+        place = _places(h, bits, turn)
+        np.bitwise_or.at(marks, place >> 3, (1 << (place & 7)).astype(np.uint8))
+    return marks
+
+
+def passing(h: np.ndarray, marks: np.ndarray) -> np.ndarray:
+    """The places of the hashes that pass a filter: all that are in it, and few others as long as it is not full."""
+    bits = len(marks).bit_length() + 2
+    at = None
+    for turn in range(3):
+        place = _places(h if at is None else h[at], bits, turn)
+        held = np.flatnonzero(marks[place >> 3] >> (place & 7).astype(np.uint8) & 1)
+        at = held if at is None else at[held]
+    return at
+
+
+def surroundings(texts: Sequence[str], marks: np.ndarray, tiers: Sequence[int], reach: int, least: int) -> Iterator[tuple[int, str, np.ndarray]]:
+    """(text, words, kept grams that may be chosen ones) around each such gram of each reading of the texts.
+
+    ``marks`` is a filter of the chosen grams (see :func:`passing`). ``reach`` is the
+    number of letters that a stretch may take to either side; overlapping surroundings are
+    put together up to a few times that length, so that each gram has its own around it.
+    Those with fewer than ``least`` different grams are left out.
+    """
+    laid = Laid(texts)
+    found = []
+    for tier in tiers:
+        k, w = TIERS[tier]
+        h, whole = laid.grams(k)
+        at = passing(h, marks)
+        at = at[whole[at]]
+        at = at[laid.kept(h, whole, at, w)]
+        found.append((at, h[at], np.full(len(at), k)))
+    at, h, k = (np.concatenate(c) for c in zip(*found))
+    order = np.argsort(at, kind="stable")
+    at, h, k = at[order], h[order], k[order]
+    reading = laid.reading_of(at)
+    lo, hi = np.maximum(laid.firsts[reading], at - reach), np.minimum(laid.ends[reading], at + k + reach)
+    i = 0
+    while i < len(at):
+        j = i + 1
+        while j < len(at) and lo[j] < hi[j - 1] and hi[j] - lo[i] <= 4 * reach:  # never across readings, whose ranges do not meet
+            j += 1
+        end = int(hi[i:j].max())
+        prints = np.unique(h[np.searchsorted(at, lo[i]) : np.searchsorted(at, end)])
+        if len(prints) >= least:
+            yield int(laid.text[reading[i]]), " ".join(laid.words(int(lo[i]), end)[0]), prints
+        i = j
+
+
+def respaced(item: Sequence[str], doc: Sequence[str]) -> list[str]:
+    """``doc`` parted into words as ``item`` is, wherever the letters of both run alike.
+
+    What remains between such runs keeps its own words; letters that stand alone there
+    are taken together as one word.
+    """
+    a, b = "".join(item), "".join(doc)
+    if len(a) < SHORT or len(b) < SHORT:
+        return list(doc)
+    places = {a[i : i + SHORT]: i for i in range(len(a) - SHORT, -1, -1)}
+    ends_item = np.cumsum([len(w) for w in item]).tolist()
+    begins = dict(zip([0, *ends_item[:-1]], range(len(item))))
+    cuts: list[int] = []  # letters of the document at which one of the item's words begins or ends
+    inner: set[int] = set()  # letters within such words, at which no word may begin
+    j = 0
+    while j <= len(b) - SHORT:
+        i = places.get(b[j : j + SHORT])
+        if i is None:
+            j += 1
+            continue
+        size = SHORT
+        while i + size < len(a) and j + size < len(b) and a[i + size] == b[j + size]:
+            size += 1
+        for first in range(i, i + size):
+            w = begins.get(first)
+            if w is not None and first + len(item[w]) <= i + size:
+                start = j + first - i
+                cuts += (start, start + len(item[w]))
+                inner.update(range(start + 1, start + len(item[w])))
+        j += size - SHORT + 1
+    printed = np.concatenate([[0], np.cumsum([len(w) for w in doc])]).tolist()
+    single = {p for p, q in zip(printed, printed[1:]) if q - p == 1}
+    kept = set(cuts)
+    marks = sorted(kept | {p for p in printed if p not in inner and not (p in single and p - 1 in single and p not in kept)} | {0, len(b)})
+    return [b[p:q] for p, q in zip(marks, marks[1:])]
 
 
 def aligned(item: Sequence[str], doc: Sequence[str]) -> bool:
@@ -210,108 +305,118 @@ def in_step(item: np.ndarray, doc: np.ndarray) -> bool:
     return bool((upto[MIN_WORDS:] - upto[:-MIN_WORDS] >= INTACT).any())
 
 
-class Items:
-    """A block of test items, ready to be looked up."""
-
-    def __init__(self, ids: Sequence, texts: Sequence[str]):
-        sequences, self.of = [], []
-        for ident, text in zip(ids, texts):
-            for words in word_sequences(text or ""):
-                if len(words) >= MIN_WORDS:
-                    sequences.append(words)
-                    self.of.append(ident)
-        self.words = sequences
-        laid = Words(sequences)
-        h, at = laid.grams()
-        self.prints = np.unique(h[laid.kept(h, at)])
-        pairs = np.unique(np.stack([h, laid.owner[at].astype(np.uint64)], axis=1), axis=0) if len(h) else np.zeros((0, 2), np.uint64)
-        self.grams, self.first = np.unique(pairs[:, 0], return_index=True)
-        self.first = np.append(self.first, len(pairs))
-        self.owners = pairs[:, 1].astype(np.int64)
-        self.vocabulary = [set(w) for w in sequences]
-        self.joined = [{a + b for a, b in zip(w, w[1:])} for w in sequences]
-        self.ids = [laid.ids[a:b] for a, b in zip(laid.firsts, laid.ends)]
-
-    def found(self, texts: Sequence[str | None]) -> list[tuple[object, int]]:
-        """(item, row) for each of the texts that holds a stretch of an item."""
-        sequences, row = [], []
-        for i, text in enumerate(texts):
-            for words in word_sequences(text or ""):
-                if len(words) >= INTACT:
-                    sequences.append(words)
-                    row.append(i)
-        if not sequences or not len(self.grams):
-            return []
-        laid = Words(sequences)
-        h, at = laid.grams()
-        keep = laid.kept(h, at)
-        hit = keep.copy()
-        hit[keep] = _held(h[keep], self.prints)
-        candidate = np.zeros(len(sequences), bool)
-        candidate[laid.owner[at[hit]]] = True
-        mine = candidate[laid.owner[at]]
-        h, at = h[mine], at[mine]
-        known = _held(h, self.grams)
-        h, at = h[known], at[known]
-        slot = np.searchsorted(self.grams, h)
-        times = self.first[slot + 1] - self.first[slot]
-        doc = np.repeat(laid.owner[at], times)
-        offset = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-        item = self.owners[np.repeat(self.first[slot], times) + offset]
-        pair, count = np.unique(doc * len(self.words) + item, return_counts=True)
-        out = set()
-        for code in pair[count >= LEAST_GRAMS].tolist():
-            d, i = divmod(code, len(self.words))
-            key = (self.of[i], row[d])
-            if key in out:
-                continue
-            ids = laid.ids[laid.firsts[d] : laid.ends[d]]
-            if in_step(self.ids[i], ids[:REGION]) or any(aligned(self.words[i], part) for part in self.dense(i, sequences[d])):
-                out.add(key)
-        return list(out)
-
-    def dense(self, i: int, doc: Sequence[str]) -> Iterator[Sequence[str]]:
-        """The parts of a document around windows with enough of the item's words, in bounded regions."""
-        vocabulary, words, pairs = self.vocabulary[i], self.words[i], self.joined[i]
-        among = np.fromiter((w in vocabulary for w in doc), np.int32, len(doc))
-        span = min(SPAN, len(doc))
-        if not vocabulary.isdisjoint(map(str.__add__, doc, doc[1:])) or not pairs.isdisjoint(doc):
-            # words of the item are written as two, or two as one; then a stretch may take up to twice the room
-            span = min(2 * SPAN, len(doc))
-            for j, w in enumerate(doc):
-                if not among[j] and w in pairs:
-                    among[j] = 2
-                if j and not (among[j - 1] and among[j]) and doc[j - 1] + w in vocabulary:
-                    among[j - 1], among[j] = max(1, among[j - 1]), max(1, among[j])
-        total = np.concatenate([[0], np.cumsum(among)])
-        starts = np.flatnonzero(total[span:] - total[:-span] >= INTACT)
-        if not len(starts):
-            return
-        reach = len(words) + len(words) // ONE_IN + 1
-        lo, hi = max(0, int(starts[0]) - reach), int(starts[0]) + span + reach
-        for s in starts[1:].tolist():
-            if s - reach > hi or hi - lo > REGION:
-                yield doc[lo:hi]
-                lo = max(0, s - reach)
-            hi = s + span + reach
-        yield doc[lo:hi]
-
-
-def _held(values: np.ndarray, held: np.ndarray) -> np.ndarray:
-    place = np.searchsorted(held, values)
-    place[place == len(held)] = 0
-    return held[place] == values if len(held) else np.zeros(len(values), bool)
-
-
-_prepared: dict[str, Items] = {}
-
-
-def _ready(token: str, held) -> Items:
-    """A block of items, prepared once in each worker process and kept while it is in use."""
-    if token not in _prepared:
-        _prepared.clear()
-        _prepared[token] = Items(*held.value)
-    return _prepared[token]
+def _numbers(words: Sequence[str]) -> np.ndarray:
+    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+
+
+def _neighbours(numbers: np.ndarray) -> np.ndarray:
+    return numbers[:-1] * np.uint64(0x9E3779B97F4A7C15) + numbers[1:]
+
+
+def _short_grams(letters: str) -> np.ndarray:
+    c = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    n = max(0, len(c) - SHORT + 1)
+    h = np.zeros(n, np.uint64)
+    for i in range(SHORT):
+        h *= np.uint64(0x9E3779B97F4A7C15)
+        h += c[i : i + n]
+    return h
+
+
+class _Place:
+    """Words, their short grams, and how these are parted into words (a bit for each letter that begins a word)."""
+
+    def __init__(self, words: str):
+        self.words = words.split(" ")
+        self.grams = _short_grams(words.replace(" ", ""))
+        sizes = np.fromiter(map(len, self.words), np.int64)
+        self.upto = np.cumsum(sizes)
+        self.parted = np.zeros(int(self.upto[-1]), np.uint8)
+        self.parted[(self.upto - sizes)[sizes > 0]] = 1
+        self.parts = np.zeros(len(self.grams), np.uint8)
+        for i in range(1, SHORT):
+            self.parts |= self.parted[i : i + len(self.grams)] << i
+
+
+class _Passage:
+    """A segment's words as needed for comparing it with documents."""
+
+    def __init__(self, words: str):
+        self.words = words.split(" ")
+        self.ids = _numbers(self.words)
+        self.pairs = np.unique(_neighbours(self.ids))
+        here = _Place(words)
+        self.grams, first = np.unique(here.grams, return_index=True)
+        self.parts = here.parts[first]
+        #: (grams that a stretch of so many words keeps at least, letters that it takes at most)
+        self.least: list[tuple[int, int]] = []
+        sizes = np.fromiter(map(len, self.words), np.int64)
+        longest = int(max(sizes.max(), WORD_LETTERS))
+        for a in range(MIN_WORDS // ONE_IN, MOST + 1):
+            if len(sizes) >= a * ONE_IN:
+                windows = np.lib.stride_tricks.sliding_window_view(sizes, a * ONE_IN)
+                intact = np.sort(windows, axis=1)[:, : a * (ONE_IN - 1)].sum(axis=1)
+                span = np.lib.stride_tricks.sliding_window_view(sizes, min(len(sizes), a * ONE_IN + ONE_IN - 1)).sum(axis=1).max()
+                self.least.append((int(intact.min()) - (a + 1) * (SHORT - 1), int(span) + a * longest))
+
+    def region(self, doc: _Place) -> tuple[int, int, bool] | None:
+        """The letters of a document among which a stretch may be, by the short grams it shares with the passage.
+
+        Also, whether any of these grams is parted into words in another way there.
+        """
+        if not len(self.grams) or not len(doc.grams):
+            return (0, len(doc.parted), True) if self.least[0][0] <= 0 else None
+        place = np.searchsorted(self.grams, doc.grams)
+        place[place == len(self.grams)] = 0
+        same = self.grams[place] == doc.grams
+        upto = np.concatenate([[0], np.cumsum(same)])
+        lo, hi = len(doc.parted), 0
+        for least, span in self.least:
+            if least <= 0:
+                lo, hi = 0, len(doc.parted)
+                break
+            width = min(span, len(same))
+            starts = np.flatnonzero(upto[width:] - upto[: len(upto) - width] >= least)
+            if len(starts):
+                lo, hi = min(lo, int(starts[0])), max(hi, int(starts[-1]) + span)
+        if lo >= hi:
+            return None
+        at = np.flatnonzero(same[lo:hi]) + lo
+        return lo, hi, bool((doc.parts[at] != self.parts[place[at]]).any())
+
+    def dense(self, words: Sequence[str]) -> bool:
+        """Do as many pairs of neighbouring words agree, close together, as a stretch must leave intact?"""
+        pairs = _neighbours(_numbers(words))
+        place = np.searchsorted(self.pairs, pairs)
+        place[place == len(self.pairs)] = 0
+        upto = np.concatenate([[0], np.cumsum(self.pairs[place] == pairs)])
+        for a in range(MIN_WORDS // ONE_IN, MOST + 1):
+            width = min(a * ONE_IN + a - 1, len(pairs))
+            if len(pairs) and (upto[width:] - upto[: len(upto) - width]).max() >= a * (ONE_IN - 2) - 1:
+                return True
+        return False
+
+
+_passage = lru_cache(maxsize=4096)(_Passage)
+
+
+_place = lru_cache(maxsize=4096)(_Place)
+
+
+def holds(item: str, doc: str) -> bool:
+    """Do the words ``doc`` hold a stretch of the words ``item`` (both parted by blanks)?"""
+    passage, place = _passage(item), _place(doc)
+    region = passage.region(place)
+    if region is None:
+        return False
+    lo, hi, otherwise = region
+    printed = place.words[max(0, int(np.searchsorted(place.upto, lo)) - 1) : int(np.searchsorted(place.upto, hi)) + 2]
+    if in_step(passage.ids, _numbers(printed)):
+        return True
+    if not otherwise:
+        return passage.dense(printed) and aligned(passage.words, printed)
+    again = respaced(passage.words, printed)
+    return any(passage.dense(words) and aligned(passage.words, words) for words in ([again] if again == printed else [again, printed]))
 
 
 def find_leaks(corpus: DataFrame, tests: DataFrame, doc_id: str, item_id: str, text: str = "text") -> DataFrame:
@@ -320,42 +425,137 @@ def find_leaks(corpus: DataFrame, tests: DataFrame, doc_id: str, item_id: str, t
     A stretch is at least ``MIN_WORDS`` words in a row of the item, in order, of which at
     most one in ``ONE_IN`` is altered, missing or added in the document. Case, accents,
     joined letters, punctuation, spacing, invisible characters, line layout and
-    bracketed remarks make no difference. Each pair comes once, also where rows are
-    repeated. Null and empty texts, and items of fewer words, give no pair. Other
-    columns are not read; ``item_id`` and ``doc_id`` must differ. An empty table on
-    either side gives no rows. The items are matched block by block, each block of at
-    most about ``BLOCK_CHARS`` characters, one pass over the corpus for each.
+    bracketed remarks, of any length and nesting, make no difference. Each pair comes
+    once, also where rows are repeated. Null and empty texts, and items of fewer words,
+    give no pair. Other columns are not read; ``item_id`` and ``doc_id`` must differ. An
+    empty table on either side gives no rows.
+
+    The corpus is read once by ``mapInArrow``, without a shuffle; candidates, fingerprints
+    and passages are written to the shared scratch folder and joined.
     """
     if item_id == doc_id:
         raise ValueError("the two identifiers need different names")
     spark = corpus.sparkSession
-    schema = T.StructType([tests.schema[item_id], corpus.schema[doc_id]])
-    read = tests.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
-    size = read.agg(F.coalesce(F.sum(F.char_length("t")), F.lit(0))).first()[0]
-    blocks = max(1, -(-size // BLOCK_CHARS))
-    kinds = pa.schema([pa.field(item_id, _arrow(schema[item_id].dataType)), pa.field(doc_id, _arrow(schema[doc_id].dataType))])
     documents = corpus.select(F.col(f"`{doc_id}`").alias("d"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL")
-    documents = spread(documents)
-    results = None
-    for block in range(blocks):
-        rows = read.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == block).collect()  # a block of bounded size
-        held = spark.sparkContext.broadcast(([r["i"] for r in rows], [r["t"] for r in rows]))
-
-        def run(batches: Iterator[pa.RecordBatch], held=held, token=uuid.uuid4().hex) -> Iterator[pa.RecordBatch]:
-            items = _ready(token, held)
-            for batch in batches:
-                for part in by_bytes(batch, "t"):
-                    pairs = items.found(part.column("t").to_pylist())
-                    if pairs:
-                        docs = part.column("d").take(pa.array([r for _, r in pairs], pa.int64()))
-                        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in pairs], kinds.field(0).type), docs.cast(kinds.field(1).type)], schema=kinds)
-
-        found = documents.mapInArrow(run, schema)
-        results = found if results is None else results.unionByName(found)
-    return results.distinct()
-
-
-def _arrow(kind: T.DataType) -> pa.DataType:
-    from pyspark.sql.pandas.types import to_arrow_type
-
-    return to_arrow_type(kind)
+    passages = tests.select(F.col(f"`{item_id}`").alias("i"), F.col(f"`{text}`").alias("t")).where("t IS NOT NULL").distinct()
+
+    segment = _written(spark, _segments(passages, _seen(documents)).withColumn("s", F.monotonically_increasing_id()), "segments")
+    prints = segment.select("s", "covers", F.posexplode("h").alias("cover", "hs")).select("s", "covers", F.expr("shiftleft(1, cover)").alias("cover"), F.explode("hs").alias("h"))
+    size = segment.agg(
+        F.count(F.lit(1)), F.sum(F.size(F.flatten("h"))), F.sum(F.length("words")), F.max("reach"), F.collect_set("tier"), F.min("covers")
+    ).first()
+    n_segments, n_prints, n_chars, reach, tiers, covers = size
+    schema = T.StructType([tests.schema[item_id], corpus.schema[doc_id]])
+    if not n_segments:
+        return spark.createDataFrame([], schema)
+
+    places = _written(spark, _surroundings(spread(documents), _marks(prints, n_prints), sorted(tiers), reach, covers).withColumn("p", F.monotonically_increasing_id()), "places")
+    hits = places.select("p", F.explode("h").alias("h"))
+    pairs = _joined(hits, prints, "h", "p", n_prints <= BROADCAST_ROWS).groupBy("p", "s").agg(F.bit_or("cover").alias("met"), F.first("covers").alias("covers"))
+    pairs = pairs.where(F.bit_count("met") == F.col("covers")).select("p", "s")
+    pairs = pairs.join(places.select("p", "d", F.col("words").alias("doc")), "p")
+    pairs = _joined(pairs, segment.select("s", "i", F.col("words").alias("item")), "s", "p", n_chars <= BROADCAST_CHARS)
+    tasks = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+    def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            held = [holds(i, d) for i, d in zip(batch.column("item").to_pylist(), batch.column("doc").to_pylist())]
+            yield batch.select(["i", "d"]).filter(pa.array(held, pa.bool_()))
+
+    # few rows of much work each, so they are spread over all tasks; pairs of one place stay together
+    found = pairs.select("p", "i", "d", "item", "doc").repartition(tasks, "p").mapInArrow(verify, T.StructType([pairs.schema["i"], pairs.schema["d"]]))
+    return found.distinct().select(F.col("i").alias(item_id), F.col("d").alias(doc_id))
+
+
+def _written(spark: SparkSession, frame: DataFrame, name: str) -> DataFrame:
+    path = scratch_folder(spark, f"leaks-{name}")
+    frame.write.parquet(path)
+    return spark.read.schema(frame.schema).parquet(path)
+
+
+def _joined(large: DataFrame, small: DataFrame, on: str, salt: str, broadcast: bool) -> DataFrame:
+    """An inner join in which no value of ``on`` is left to one task, however often ``large`` holds it."""
+    if broadcast:
+        return large.join(F.broadcast(small), on)  # of a size that was counted
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return large.withColumn("__salt", F.pmod(F.col(salt), F.lit(SALTS)).cast("int")).join(salted, [on, "__salt"]).drop("__salt")
+
+
+def _seen(documents: DataFrame) -> np.ndarray | None:
+    """Counters of grams from a bounded number of documents; what they say only orders the grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, chars = np.zeros(1 << COUNTER_BITS, np.int64), 0
+        for batch in batches:
+            for part in by_bytes(batch, "t", SLICE):
+                texts = [t[: SAMPLE_CHARS - chars] for t in part.column("t").to_pylist()]
+                chars += sum(map(len, texts))
+                total += counters(texts)
+                if chars >= SAMPLE_CHARS:
+                    break
+        yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["c"])
+
+    rows = documents.select("t").limit(SAMPLE_DOCUMENTS).coalesce(1).mapInArrow(run, "c binary").collect()  # one row of 4 MB
+    return np.frombuffer(rows[0]["c"], np.int32) if rows else None
+
+
+def _segments(passages: DataFrame, seen: np.ndarray | None) -> DataFrame:
+    """(i, words, tier, covers, h, reach) for each segment of each passage."""
+    held = passages.sparkSession.sparkContext.broadcast(seen)  # 4 MB
+    schema = T.StructType(
+        [passages.schema["i"], T.StructField("words", T.StringType()), T.StructField("tier", T.IntegerType()), T.StructField("covers", T.IntegerType()), T.StructField("h", T.ArrayType(T.ArrayType(T.LongType(), False), False)), T.StructField("reach", T.IntegerType())]
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            row, words, tiers, prints, reaches = [], [], [], [], []
+            for r, text in enumerate(batch.column("t").to_pylist()):
+                for joined, segment in segments(text):
+                    tier, covers = segment.choose(held.value)
+                    longest = int(max(segment.sizes.max(), WORD_LETTERS))
+                    letters = np.convolve(segment.sizes, np.ones(min(LONGEST, len(segment.sizes)), np.int64)).max()
+                    row.append(r)
+                    words.append(joined)
+                    tiers.append(tier)
+                    prints.append([c.view(np.int64).tolist() for c in covers])
+                    reaches.append(int(letters) + MOST * longest)
+            number = pa.field("element", pa.int64(), nullable=False)
+            lists = pa.array(prints, pa.list_(pa.field("element", pa.list_(number), nullable=False)))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("i").take(pa.array(row, pa.int64())), pa.array(words, pa.string()), pa.array(tiers, pa.int32()), pa.array([len(p) for p in prints], pa.int32()), lists, pa.array(reaches, pa.int32())],
+                names=schema.names,
+            )
+
+    return passages.repartition(passages.sparkSession.sparkContext.defaultParallelism).mapInArrow(run, schema)
+
+
+def _marks(prints: DataFrame, n: int) -> np.ndarray:
+    """A filter that all fingerprints pass, of at most 2**MOST_BITS bits."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        marks = filter_of(np.zeros(0, np.uint64), n)
+        for batch in batches:
+            marks |= filter_of(batch.column("h").to_numpy().view(np.uint64), n)
+        yield pa.RecordBatch.from_arrays([pa.array([pa.Codec("zstd").compress(marks.tobytes(), asbytes=True)], pa.binary())], names=["m"])
+
+    total = filter_of(np.zeros(0, np.uint64), n)
+    for row in prints.select("h").coalesce(FILTER_TASKS).mapInArrow(run, "m binary").toLocalIterator():  # one filter at a time
+        total |= np.frombuffer(pa.Codec("zstd").decompress(row["m"], len(total)), np.uint8)
+    return total
+
+
+def _surroundings(documents: DataFrame, marks: np.ndarray, tiers: Sequence[int], reach: int, least: int) -> DataFrame:
+    """(d, words, h) for each place of the documents that may hold a fingerprint."""
+    held = documents.sparkSession.sparkContext.broadcast(marks)  # at most 2**MOST_BITS bits
+    schema = T.StructType([documents.schema["d"], T.StructField("words", T.StringType()), T.StructField("h", T.ArrayType(T.LongType(), False))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in by_bytes(batch, "t", SLICE):
+                found = list(surroundings(part.column("t").to_pylist(), held.value, tiers, reach, least))
+                if found:
+                    row, words, prints = zip(*found)
+                    lists = pa.array([p.view(np.int64).tolist() for p in prints], pa.list_(pa.field("element", pa.int64(), nullable=False)))
+                    yield pa.RecordBatch.from_arrays([part.column("d").take(pa.array(row, pa.int64())), pa.array(words, pa.string()), lists], names=schema.names)
+
+    return documents.mapInArrow(run, schema)
