@@ -86,6 +86,11 @@ STATEMENTS: dict[str, tuple[str, str, str]] = {
     "count_star": ("lineitem", "SELECT COUNT(*) AS c", "SELECT COUNT(*) AS c FROM lineitem"),
     "count_rows_with_null": ("menuitem", "SELECT COUNT(high_price) AS c", "SELECT COUNT(*) AS c FROM menuitem"),
     "count_distinct": ("events", "SELECT event_type, COUNT(DISTINCT user_id) AS u GROUP BY event_type", "SELECT event_type, COUNT(DISTINCT user_id) AS u FROM events GROUP BY event_type"),
+    "count_distinct_with_null": (
+        "wikipedia",
+        "SELECT channel, COUNT(DISTINCT cityName) AS n GROUP BY channel",
+        'SELECT channel, COUNT(DISTINCT "cityName") + MAX(CASE WHEN "cityName" IS NULL THEN 1 ELSE 0 END) AS n FROM wikipedia GROUP BY channel',
+    ),
     "count_distinct_of_key": ("wikipedia", "SELECT channel, COUNT(DISTINCT channel) AS one GROUP BY channel", "SELECT channel, COUNT(DISTINCT channel) AS one FROM wikipedia GROUP BY channel"),
     "agg_multi": (
         "events",
@@ -125,12 +130,11 @@ STATEMENTS: dict[str, tuple[str, str, str]] = {
     "order_hidden_agg": ("part", "SELECT p_brand GROUP BY p_brand ORDER BY SUM(p_size) DESC LIMIT 5", "SELECT p_brand FROM part GROUP BY p_brand ORDER BY SUM(p_size) DESC, p_brand LIMIT 5"),
     "order_group_asc": ("part", "SELECT p_brand, COUNT(*) AS c GROUP BY p_brand ORDER BY p_brand LIMIT 5", "SELECT p_brand, COUNT(*) AS c FROM part GROUP BY p_brand ORDER BY p_brand LIMIT 5"),
     "order_groups_implicit_limit": ("events", "SELECT user_id, COUNT(*) AS c GROUP BY user_id ORDER BY user_id", "SELECT user_id, COUNT(*) AS c FROM events GROUP BY user_id ORDER BY user_id LIMIT 1000"),
-    "agg_limit_no_order": ("part", "SELECT p_brand, COUNT(*) AS c GROUP BY p_brand LIMIT 5", ""),
+    "order_many_groups_implicit_limit": ("orders", "SELECT o_orderkey, COUNT(*) AS c GROUP BY o_orderkey ORDER BY o_orderkey DESC", "SELECT o_orderkey, COUNT(*) AS c FROM orders GROUP BY o_orderkey ORDER BY o_orderkey DESC LIMIT 1000"),
     "min_max": ("orders", "SELECT o_orderstatus, MIN(o_orderdate) AS first, MAX(o_totalprice) AS most GROUP BY o_orderstatus", "SELECT o_orderstatus, MIN(o_orderdate) AS first, MAX(o_totalprice) AS most FROM orders GROUP BY o_orderstatus"),
     "sum_distinct": ("part", "SELECT p_brand, SUM(DISTINCT p_size) AS s, AVG(DISTINCT p_size) AS a GROUP BY p_brand", "SELECT p_brand, CAST(SUM(DISTINCT p_size) AS BIGINT) AS s, AVG(DISTINCT p_size) AS a FROM part GROUP BY p_brand"),
     "having": ("wikipedia", "SELECT user, COUNT(*) AS c GROUP BY user HAVING COUNT(*) > 20 AND c < 1000", 'SELECT "user", COUNT(*) AS c FROM wikipedia GROUP BY "user" HAVING COUNT(*) > 20 AND COUNT(*) < 1000'),
     "select_distinct": ("wikipedia", "SELECT DISTINCT channel, namespace", "SELECT DISTINCT channel, namespace FROM wikipedia"),
-    "approx_distinct": ("events", "SELECT event_type, APPROX_COUNT_DISTINCT(user_id) AS u GROUP BY event_type", ""),
     "edits_by_city": (
         "wikipedia",
         "SELECT cityName, SUM(added) AS s, COUNT(*) AS c WHERE countryName = 'Saeltziarkos' OR countryName = 'nowhere' GROUP BY cityName",
@@ -165,11 +169,19 @@ def _statement(name: str) -> Query:
 
 def _written(spark: SparkSession, frame: DataFrame, kind: str) -> str:
     """A file folder of the given kind with the rows of a table, as it would come from elsewhere."""
-    path = f"{scratch_folder(spark, 'source')}.{kind}"
     if kind in ("csv", "tsv"):
+        path = f"{scratch_folder(spark, 'source')}.{kind}"
         frame.write.option("header", True).option("sep", "," if kind == "csv" else "\t").option("quote", '"').option("escape", '"').option("emptyValue", "").csv(path)
-    else:
+        return path
+    path = f"{scratch_folder(spark, 'source')}.{'ndjson' if kind == 'ndjson' else 'json'}"
+    if kind in ("ndjson", "json_lines"):
         frame.write.option("ignoreNullFields", kind == "ndjson").json(path)
+        return path
+    each = F.to_json(F.struct(*(F.col(f"`{c}`") for c in frame.columns)), {"ignoreNullFields": "false"})
+    one = frame.select(each.alias("value"))
+    if kind == "json_array":  # one array over many lines
+        one = one.agg(F.concat(F.lit("[\n"), F.array_join(F.collect_list("value"), ",\n"), F.lit("\n]")).alias("value"))
+    one.coalesce(1).write.text(path)
     return path
 
 
@@ -181,6 +193,43 @@ def _ingested(kind: str, segments: int) -> Query:
     return run
 
 
+def _ingested_object(spark: SparkSession, folder: str) -> DataFrame:
+    """A file that holds a single object, with numbers and a truth value that become texts."""
+    artists = dataset(spark, folder, "artists")
+    one = artists.agg(F.min("Name").alias("first"), F.count(F.lit(1)).alias("n"), F.lit(True).alias("known"), F.lit(None).cast("string").alias("none"))
+    stored = Table.from_ingest_source(spark, scratch_folder(spark, "table"), _written(spark, one, "json_object"))
+    return QueryExecutor(stored).dataframe("SELECT first, n, known, none WHERE known = 'True'")
+
+
+def _segment_ties(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows that tie are given by segment, and within one the later row first."""
+    stored = Table.write(table(spark, folder, "part"), scratch_folder(spark, "segments"), 5)
+    return QueryExecutor(stored).dataframe("SELECT p_partkey, p_size ORDER BY p_size LIMIT 75")
+
+
+def _unordered_limit(spark: SparkSession, folder: str) -> DataFrame:
+    """Any five groups, each with its right count."""
+    part = table(spark, folder, "part")
+    some = QueryExecutor(Table.from_dataframe(part)).dataframe("SELECT p_brand, COUNT(*) AS c GROUP BY p_brand LIMIT 5")
+    right = part.groupBy("p_brand").agg(F.count(F.lit(1)).alias("c"))
+    return some.join(right, ["p_brand", "c"], "left_semi").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("p_brand").alias("n_brands"))
+
+
+def _approximate(spark: SparkSession, folder: str) -> DataFrame:
+    """Approximate distinct counts, each within three of its standard errors (5 %) of the exact one."""
+    events = Table.from_dataframe(table(spark, folder, "events"))
+    frame = QueryExecutor(events).dataframe("SELECT event_type, APPROX_COUNT_DISTINCT(user_id) AS u, COUNT(DISTINCT user_id) AS n GROUP BY event_type")
+    return frame.select("event_type", "n", (F.abs(F.col("u") - F.col("n")) <= 0.15 * F.col("n")).alias("within"))
+
+
+def _big_numbers(spark: SparkSession, folder: str) -> DataFrame:
+    """Whole numbers beyond those that a double can tell apart."""
+    orders = table(spark, folder, "orders").select((F.col("o_orderkey") + F.lit(2**53)).alias("id"))
+    text = """SELECT id WHERE id = '9007199254740995' OR id IN ('9007199254740997', 9007199254740998, 1.5, 'x', '9223372036854775808')
+    OR id < '9007199254740993.5' AND id <= 9223372036854775808 OR id = '9223372036854775807' ORDER BY id LIMIT 100"""
+    return QueryExecutor(Table.from_dataframe(orders)).dataframe(text)
+
+
 def _segments(spark: SparkSession, folder: str) -> DataFrame:
     """How many rows each of seven segments of a table holds."""
     stored = Table.write(table(spark, folder, "menuitem"), scratch_folder(spark, "segments"), 7)
@@ -218,6 +267,17 @@ def _streamed(spark: SparkSession, folder: str) -> DataFrame:
     return QueryExecutor(stored).dataframe("SELECT channel, COUNT(*) AS c, SUM(added) AS s GROUP BY channel")
 
 
+def _streamed_after(spark: SparkSession, folder: str) -> DataFrame:
+    """Files taken into a table that had segments before."""
+    path, incoming = scratch_folder(spark, "streamed"), scratch_folder(spark, "incoming")
+    edits = table(spark, folder, "wikipedia").select("edit_id", "channel", "added")
+    Table.write(edits, path, 3)
+    edits.write.parquet(incoming)
+    for _ in range(2):  # the second time there is nothing new
+        stored = ingest_available(spark, incoming, edits.schema, path, f"{path}-progress")
+    return QueryExecutor(stored).dataframe("SELECT channel, COUNT(*) AS c, SUM(added) AS s GROUP BY channel")
+
+
 def queries() -> dict[str, Query]:
     return {
         **{name: _statement(name) for name in STATEMENTS},
@@ -225,22 +285,37 @@ def queries() -> dict[str, Query]:
         "numeric_exact": _exact,
         "ingest_csv": _ingested("csv", 3),
         "ingest_tsv": _ingested("tsv", 1),
-        "ingest_json": _ingested("json", 2),
+        "ingest_json": _ingested("json_array", 2),
+        "ingest_json_lines": _ingested("json_lines", 2),
+        "ingest_json_object": _ingested_object,
         "ingest_ndjson": _ingested("ndjson", 11),
         "segment_sizes": _segments,
         "segment_aggregate": _segmented,
         "append_segment": _appended,
         "ingest_stream": _streamed,
+        "ingest_stream_existing": _streamed_after,
+        "segment_ties": _segment_ties,
+        "agg_limit_no_order": _unordered_limit,
+        "approx_distinct": _approximate,
+        "filter_big_number": _big_numbers,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    artists = {kind: _GENRES_SQL.format(missing) for kind, missing in (("csv", ""), ("tsv", ""), ("json", "None"), ("ndjson", "None"))}
+    artists = {kind: _GENRES_SQL.format(missing) for kind, missing in (("csv", ""), ("tsv", ""), ("json", "None"), ("json_lines", "None"), ("ndjson", "None"))}
     return {
         **{name: sql for name, (_, _, sql) in STATEMENTS.items() if sql},
         "order_lexicographic": "SELECT p_partkey, CAST(p_size AS VARCHAR) AS s FROM part ORDER BY s DESC, p_partkey LIMIT 10",
         "numeric_exact": "SELECT o_orderstatus, COUNT(*) AS c, MAX(o_totalprice / 2) AS half FROM orders GROUP BY o_orderstatus",
         **{f"ingest_{kind}": sql for kind, sql in artists.items()},
+        "ingest_json_object": """SELECT MIN("Name") AS first, CAST(COUNT(*) AS VARCHAR) AS n, 'True' AS known, 'None' AS none FROM artists""",
+        "ingest_stream_existing": f"SELECT channel, 2 * COUNT(*) AS c, CAST(2 * SUM({_int('added')}) AS BIGINT) AS s FROM wikipedia GROUP BY channel",
+        "segment_ties": """SELECT p_partkey, p_size FROM (SELECT *, row_number() OVER () - 1 AS i FROM part)
+ORDER BY p_size, i // CAST(ceil((SELECT COUNT(*) FROM part) / 5.0) AS BIGINT), i DESC LIMIT 75""",
+        "agg_limit_no_order": "SELECT LEAST(5, COUNT(DISTINCT p_brand)) AS n, LEAST(5, COUNT(DISTINCT p_brand)) AS n_brands FROM part",
+        "approx_distinct": "SELECT event_type, COUNT(DISTINCT user_id) AS n, TRUE AS within FROM events GROUP BY event_type",
+        "filter_big_number": """SELECT id FROM (SELECT o_orderkey + 9007199254740992 AS id FROM orders) WHERE id IN (9007199254740995, 9007199254740997, 9007199254740998)
+OR id <= 9007199254740993 ORDER BY id LIMIT 100""",
         "segment_sizes": """SELECT segment, COUNT(*) AS n FROM (SELECT CAST((row_number() OVER () - 1) // CAST(ceil((SELECT COUNT(*) FROM menuitem) / 7.0) AS BIGINT) AS BIGINT) AS segment
 FROM menuitem) GROUP BY segment""",
         "segment_aggregate": STATEMENTS["menu_price_by_page"][2],

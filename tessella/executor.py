@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.plans.parser import parse
 from tessella.plans.planner import Planner
+from tessella.session import apply_semantics
 from tessella.table import Table
 
 
@@ -28,12 +29,14 @@ class ResultSet:
 class QueryExecutor:
     """Executes statements over one table.
 
+    The session is set to tell names' cases apart, to be strict about casts and to use UTC.
     Numbers are whole in sums, averages and arithmetic; ``numeric="exact"`` keeps fractions.
     """
 
     def __init__(self, table: Table, numeric: str = "trunc"):
         if numeric not in ("trunc", "exact"):
             raise ValueError("numeric is either 'trunc' or 'exact'")
+        apply_semantics(table.frame.sparkSession)
         self.table = table
         self.planner = Planner(table, numeric == "exact")
 

@@ -1,10 +1,10 @@
 """Loading delimited records, with those that fail set apart and explained.
 
-Blocks of records are checked and parsed as a whole: one match of the block's text
-against the grammar, one columnar CSV parse, one vectorised test for each judged
-column. A block that fails anywhere is cut in two and each half tried again, down to a
-handful of records, which a strict reader then takes one at a time to name the reason.
-Valid records are typed by the same column kernels whichever way they came.
+A batch of records is laid out as one text. A block of records is tried by one match of
+its part of the text against the grammar of good records; a block that fails is cut in
+two and each half tried again, down to single records. All records that pass are then
+parsed together by one columnar CSV parse and typed by column kernels; only records
+that were isolated go to a strict reader, which names the reason.
 """
 
 from __future__ import annotations
@@ -13,6 +13,7 @@ import io
 import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessella.functions.runs import by_bytes
 from tessella.session import spread
 
 BLANKS = " \t"
 #: Stand-ins for line breaks within a record while blocks are joined by line breaks.
 BREAKS = {"\n": "\x01", "\r": "\x02"}
-#: Records in the largest block tried at once, and in the smallest one that is still halved.
-BLOCK, LEAF = 4096, 32
+#: Records in the largest block tried at once, and bytes of records laid out as one text.
+BLOCK, BATCH_BYTES = 4096, 4 << 20
 
 NUMBER = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
 INT64_MAX = 2**63 - 1
@@ -149,32 +151,57 @@ def split_strict(raw: str) -> list[str] | None:
 
 
 class _Loader:
-    """Splits blocks of records into rows of trimmed text fields and reasons, by halves."""
+    """Splits batches of records into typed rows and reasons, by halves."""
 
     def __init__(self, spec: Sequence[Field]):
         self.spec = spec
-        cell = r'(?:(?:"[^"\n]*+")++|[^",\n]*+)'
-        self.block = re.compile(rf"(?:{cell}(?:,{cell}){{{len(spec) - 1}}}\n)*+")
-        names = [f"f{i}" for i in range(len(spec))]
+        blank = f"[{BLANKS}]*+"
+        any_cell = r'(?:(?:"[^"\n]*+")++|[^",\n]*+)'
+        cells = {
+            "key": lambda: rf"0*+[1-9][0-9]{{0,18}}{blank}",
+            "number": lambda: rf"(?:None|nan|{NUMBER})?{blank}",
+        }
+        judged = {kind: rf'(?:"{blank}{cell()}"|{blank}{cell()})(?=[,\n])' for kind, cell in cells.items()}
+        record = ",".join(judged[f.kind] if f.judged else any_cell for f in spec)
+        self.grammar = re.compile(rf"(?:{record}\n)*+")
+        self.names = [f"f{i}" for i in range(len(spec))]
         self.parse = csv.ParseOptions(delimiter=",", quote_char='"', double_quote=True, escape_char=False, newlines_in_values=False, ignore_empty_lines=False)
-        self.convert = csv.ConvertOptions(column_types={n: pa.string() for n in names}, strings_can_be_null=False)
-        self.names = names
+        self.convert = csv.ConvertOptions(column_types={n: pa.string() for n in self.names}, strings_can_be_null=False)
         self.judged = [(i, _JUDGE[f.kind], f.name) for i, f in enumerate(spec) if f.judged]
         self.seen = self.bad = 0
+        #: Records read strictly, and blocks tried, so far.
+        self.strictly = self.tried = 0
 
-    def fast(self, records: list[str]) -> list[pa.Array] | None:
-        """The fields of a block in which every record is good, else None."""
-        text = "\n".join(records) + "\n"
-        swapped = text.count("\n") != len(records) or "\r" in text
-        if swapped:
-            if any(mark in text for mark in BREAKS.values()):
-                return None
-            for mark, stand_in in BREAKS.items():
-                records = [r.replace(mark, stand_in) for r in records]
-            text = "\n".join(records) + "\n"
-        if self.block.fullmatch(text) is None:
-            return None
-        data = text.encode()
+    def isolated(self, text: str, ends: list[int]) -> list[int]:
+        """The records that fail by themselves, found by halving blocks that fail.
+
+        Record i lies between ``ends[i]`` and ``ends[i + 1]``. A block is begun at the size in
+        which, at the rate of failures so far, one is to be expected.
+        """
+        failed: list[int] = []
+        at, last = 0, len(ends) - 1
+        while at < last:
+            size = min(BLOCK, max(1, self.seen // (self.bad + 1))) if self.seen else BLOCK
+            before = len(failed)
+            blocks = [(at, min(at + size, last))]
+            at = blocks[0][1]
+            self.seen += at - blocks[0][0]
+            while blocks:
+                lo, hi = blocks.pop()
+                self.tried += 1
+                if self.grammar.fullmatch(text, ends[lo], ends[hi]) is not None:
+                    continue
+                if hi - lo == 1:
+                    failed.append(lo)
+                else:
+                    half = (lo + hi) // 2
+                    blocks += ((half, hi), (lo, half))
+            self.bad += len(failed) - before
+        return failed
+
+    def columns(self, records: list[str]) -> list[pa.Array] | None:
+        """The fields of records that fit the grammar, as trimmed columns (None if the parser does not agree)."""
+        data = ("\n".join(records) + "\n").encode()
         try:
             parsed = csv.read_csv(
                 io.BytesIO(data),
@@ -186,18 +213,11 @@ class _Loader:
             return None
         if parsed.num_rows != len(records):
             return None
-        fields = [parsed.column(i).combine_chunks() for i in range(len(self.spec))]
-        if swapped:
-            for mark, stand_in in BREAKS.items():
-                fields = [pc.replace_substring(f, stand_in, mark) for f in fields]
-        fields = [pc.utf8_trim(f, BLANKS) for f in fields]
-        for field, values in zip(self.spec, fields):
-            if field.judged and not pc.all(_TYPED[field.kind](values)[1], min_count=0).as_py():
-                return None
-        return fields
+        return [parsed.column(n).combine_chunks() for n in self.names]
 
     def strict(self, record: str | None) -> tuple[list[str] | None, str | None]:
         """Fields, or the first reason against the record. A null record has no columns."""
+        self.strictly += 1
         cells = split_strict(record) if record is not None else []
         if cells is None:
             return None, "quoting"
@@ -209,47 +229,53 @@ class _Loader:
                 return None, name
         return cells, None
 
-    def load(self, records: list[str | None], at: int, blocks: list, singles: list, reasons: list) -> None:
-        """Sort a block into good blocks (first row, fields), good single records (row, fields) and reasons."""
-        if len(records) > LEAF:
-            fields = None if None in records else self.fast(records)
-            if fields is not None:
-                blocks.append((at, fields))
-                return
-            half = len(records) // 2
-            self.load(records[:half], at, blocks, singles, reasons)
-            self.load(records[half:], at + half, blocks, singles, reasons)
-            return
-        for row, record in enumerate(records, at):
-            cells, reasons[row] = self.strict(record)
-            if cells is not None:
-                singles.append((row, cells))
-
     def batch(self, records: list[str | None]) -> tuple[pa.Array, pa.Array]:
-        """Reason (null for good records) and typed record (null for bad ones) of each row.
-
-        A block is begun at a size in which, at the rate of bad records seen so far, one
-        bad record is to be expected, so that most blocks are not tried in vain.
-        """
-        blocks, singles = [], []
-        reasons: list[str | None] = [None] * len(records)
-        at = 0
-        while at < len(records):
-            size = min(BLOCK, max(LEAF, self.seen // (self.bad + 1))) if self.seen else BLOCK
-            chunk = records[at : at + size]
-            self.load(chunk, at, blocks, singles, reasons)
-            self.seen += len(chunk)
-            self.bad += sum(r is not None for r in reasons[at : at + size])
-            at += size
+        """Reason (null for good records) and typed record (null for bad ones) of each row."""
+        laid = ["" if r is None else r for r in records]
+        whole = "\n".join(laid)
+        swapped = "\r" in whole or whole.count("\n") != len(laid) - 1
+        alone = {i for i, r in enumerate(records) if r is None}
+        if swapped:
+            # a record with a stand-in of its own cannot be told from one with a line break
+            alone |= {i for i, r in enumerate(laid) if any(mark in r for mark in BREAKS.values())}
+            for mark, stand_in in BREAKS.items():
+                laid = [r.replace(mark, stand_in) if mark in r else r for r in laid]
+        rows = [i for i in range(len(records)) if i not in alone] if alone else range(len(records))
+        if alone:
+            laid = [laid[i] for i in rows]
+        text = "\n".join(laid) + "\n"
+        ends = [0, *accumulate(len(r) + 1 for r in laid)]
+        failed = self.isolated(text, ends) if laid else []
+        good = sorted(set(range(len(laid))).difference(failed))
+        fields = self.columns([laid[i] for i in good]) if good else None
+        alone.update(rows[i] for i in failed)
+        if good and fields is None:
+            alone.update(rows[i] for i in good)
+            good = []
         place = np.full(len(records), -1, dtype=np.int64)
-        filled = 0
-        for first, fields in blocks:
-            place[first : first + len(fields[0])] = np.arange(filled, filled + len(fields[0]))
-            filled += len(fields[0])
+        blocks: list[list[pa.Array]] = []
+        if good:
+            place[[rows[i] for i in good]] = np.arange(len(good))
+            if swapped:
+                for mark, stand_in in BREAKS.items():
+                    fields = [pc.replace_substring(f, stand_in, mark) for f in fields]
+            blocks.append([pc.utf8_trim(f, BLANKS) for f in fields])
+            # what the grammar leaves open, such as a key's range, the column kernels see
+            for i, _, _ in self.judged:
+                fits = _TYPED[self.spec[i].kind](blocks[0][i])[1]
+                for j in np.flatnonzero(~fits.to_numpy(zero_copy_only=False)).tolist():
+                    alone.add(rows[good[j]])
+        reasons: list[str | None] = [None] * len(records)
+        singles = []
+        for row in sorted(alone):
+            cells, reasons[row] = self.strict(records[row])
+            place[row] = -1
+            if cells is not None:
+                place[row] = len(good) + len(singles)
+                singles.append(cells)
         if singles:
-            place[[row for row, _ in singles]] = np.arange(filled, filled + len(singles))
-            blocks.append((0, [pa.array(c, pa.string()) for c in zip(*(cells for _, cells in singles))]))
-        columns = [pa.concat_arrays([b[i] for _, b in blocks]) if blocks else pa.array([], pa.string()) for i in range(len(self.spec))]
+            blocks.append([pa.array(c, pa.string()) for c in zip(*singles)])
+        columns = [pa.concat_arrays([b[i] for b in blocks]) if blocks else pa.array([], pa.string()) for i in range(len(self.spec))]
         order = pa.array(place, mask=place < 0)
         typed = [_TYPED[f.kind](c)[0].cast(_ARROW[f.kind]).take(order) for f, c in zip(self.spec, columns)]
         record = pa.StructArray.from_arrays(typed, fields=[pa.field(f.name, _ARROW[f.kind]) for f in self.spec], mask=pc.is_null(order))
@@ -288,8 +314,8 @@ def load_records(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         loader = _Loader(spec)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            reasons, records = loader.batch(texts)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], reasons, records], names=[*keep, reason, record])
+            for part in by_bytes(batch, "__raw", BATCH_BYTES):
+                reasons, records = loader.batch(part.column(part.num_columns - 1).to_pylist())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], reasons, records], names=[*keep, reason, record])
 
     return spread(df.select(*(F.col(f"`{k}`") for k in keep), F.col(f"`{raw}`").alias("__raw"))).mapInArrow(run, schema)

@@ -10,7 +10,9 @@ from __future__ import annotations
 import datetime
 from collections.abc import Callable
 from dataclasses import fields, replace
+from decimal import Decimal, InvalidOperation
 from functools import reduce
+from math import floor
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -132,7 +134,7 @@ class Planner:
             return result, DOUBLE if inexact else LONG
         if isinstance(node, (Binary, Not, Among, Like, IsNull)):
             return self._truth(node, scope, coerce), BOOL
-        raise ValueError(f"Unsupported operation in post-aggregation stage: {node.sql()}")
+        raise ValueError(f"{node.sql()} is neither grouped by nor an aggregate, nor anything else that a row or group has")
 
     def _truth(self, node: Node, scope, coerce: bool = True) -> Column:
         if isinstance(node, Binary) and node.op in ("AND", "OR"):
@@ -145,11 +147,22 @@ class Planner:
         if isinstance(node, Like):
             return self._value(node.of, scope, coerce)[0].cast("string").like(node.pattern)
         if isinstance(node, Among):
-            return reduce(lambda a, b: a | b, (self._compared("=", node.of, v, scope, coerce) for v in node.values))
+            return self._among(node, scope, coerce)
         if isinstance(node, Binary) and node.op in _COMPARE:
             return self._compared(node.op, node.left, node.right, scope, coerce)
         raise NotImplementedError(f"Operation not supported: {node.sql()}")
 
+    def _among(self, node: Among, scope, coerce: bool) -> Column:
+        """One set for texts and whole numbers, which the scan can be asked for; else comparisons one by one."""
+        if not isinstance(node.of, Literal) and all(isinstance(v, Literal) and v.value is not None for v in node.values):
+            a, kind = self._value(node.of, scope, coerce)
+            if isinstance(kind, T.StringType):
+                return a.isin([str(v.value) for v in node.values])
+            if isinstance(kind, T.IntegralType):
+                whole = [n for n in (_number(v.value) for v in node.values) if n is not None and n == int(n) and abs(n) < 2**63]
+                return a.isin([int(n) for n in whole]) if whole else F.when(a.isNotNull(), F.lit(False))
+        return reduce(lambda a, b: a | b, (self._compared("=", node.of, v, scope, coerce) for v in node.values))
+
     def _compared(self, op: str, left: Node, right: Node, scope, coerce: bool) -> Column:
         """A comparison in the type of the side that is not a literal, so that it can be pushed to the scan."""
         if isinstance(left, Literal) and not isinstance(right, Literal):
@@ -223,7 +236,8 @@ class Planner:
             return F.count(F.lit(1)), LONG
         value, kind = self._value(arg, self._row)
         if call.function == "COUNT":
-            return F.count_distinct(value), LONG
+            # a missing value is one value more, as COUNT(x) counts its row
+            return F.count_distinct(value) + F.coalesce(F.max(value.isNull().cast("bigint")), F.lit(0)), LONG
         if call.function == "APPROX_COUNT_DISTINCT":
             return F.approx_count_distinct(value), LONG
         if call.function in ("MIN", "MAX"):
@@ -234,14 +248,31 @@ class Planner:
         return (F.sum_distinct(number) / F.count_distinct(number) if call.distinct else F.avg(number)), DOUBLE
 
 
+def _number(value: int | float | str) -> Decimal | int | None:
+    """The exact value of a literal that is meant as a number, or None where it is none."""
+    if isinstance(value, int):
+        return value
+    try:
+        number = Decimal(str(value).strip())
+    except InvalidOperation:
+        return None
+    return number if number.is_finite() else None
+
+
 def _typed(value: int | float | str, kind: T.DataType) -> Column | None:
     """A literal in a column's own type, or None where it is none of its values."""
     try:
         if isinstance(kind, T.BooleanType):
             return F.lit({"true": True, "false": False}[str(value).lower()])
         if isinstance(kind, T.IntegralType):
-            number = float(value) if not isinstance(value, int) else value
-            return F.lit(int(number)) if number == int(number) else F.lit(number)
+            number = _number(value)
+            if number is None:
+                return None
+            if not -(2**63) <= number < 2**63:
+                return F.lit(float("inf") if number > 0 else float("-inf"))
+            whole = floor(number)
+            # any fraction between two whole numbers compares alike
+            return F.lit(whole) if whole == number else F.lit(Decimal(whole) + Decimal("0.5")).cast("decimal(20,1)")
         if isinstance(kind, (T.DoubleType, T.FloatType)):
             return F.lit(float(value))
         if isinstance(kind, T.DecimalType):

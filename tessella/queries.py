@@ -72,6 +72,27 @@ WITH lexed AS (
 )"""
 
 
+def _p1_cell(i: int) -> str:
+    """The trimmed text of a field of a record that loads."""
+    raw = rf"regexp_extract(raw, '(?s)^(?:{_CELL},){{{{{i}}}}}({_CELL})', 1)".replace("{{", "{").replace("}}", "}")
+    return f"""trim(CASE WHEN {raw} LIKE '"%' THEN replace(substr({raw}, 2, length({raw}) - 2), '""', '"') ELSE {raw} END, ' ' || chr(9))"""
+
+
+def _p1_typed(kind: str, cell: str) -> str:
+    if kind == "number":
+        number = rf"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
+        return f"CASE WHEN {cell} = 'nan' OR regexp_full_match({cell}, '{number}') THEN TRY_CAST(ltrim({cell}, '+') AS DOUBLE) END"
+    if kind == "timestamp":
+        shape = "[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}( UTC)?"
+        return f"CASE WHEN regexp_full_match({cell}, '{shape}') THEN TRY_CAST(substr({cell}, 1, 19) AS TIMESTAMP) END"
+    return f"CASE WHEN regexp_full_match({cell}, '[+-]?[0-9]+') THEN TRY_CAST(ltrim({cell}, '+') AS BIGINT) END"
+
+
+_P1_LOADED = f"""{_P1_BASE}, cells AS (SELECT raw_id, {', '.join(f'{_p1_cell(i)} AS c{i}' for i in range(len(MENU_ITEM)))}
+FROM menuitem_raw WHERE raw_id IN (SELECT raw_id FROM judged WHERE reason IS NULL))
+SELECT raw_id, {', '.join(f'{_p1_typed(f.kind, f"c{i}")} AS {f.name}' for i, f in enumerate(MENU_ITEM))} FROM cells"""
+
+
 def _p3_sql(key: str, users: bool = False) -> str:
     more = ', COUNT(DISTINCT "user") AS n_users' if users else ""
     return f"""SELECT "{key}", COUNT(*) AS n, COUNT(added) AS n_added, CAST(SUM(added) AS BIGINT) AS sum_added, MIN(added) AS min_added,
@@ -103,6 +124,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         **dialect_queries.oracle_sql(),
         "p1_found": f"{_P1_BASE} SELECT raw_id, reason FROM judged WHERE reason IS NOT NULL",
+        "p1_loaded": _P1_LOADED,
         "p1_by_file": f"{_P1_BASE} SELECT file_name, COALESCE(reason, 'loaded') AS outcome, COUNT(*) AS n FROM judged GROUP BY ALL",
         "p3_found": _P3_FOUND,
         "p3_by_channel": _p3_sql("channel"),

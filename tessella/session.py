@@ -69,15 +69,32 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
     return f"{tempfile.mkdtemp(prefix='tessella-')}/{name}"
 
 
+def partitions_of(df: DataFrame) -> int:
+    """In how many partitions a DataFrame comes, found without running any of it.
+
+    A plan with a shuffle comes in as many as shuffles make, or fewer.
+    """
+    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
+        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.rdd.getNumPartitions()
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over at least as many partitions as there are cores.
 
     Only an input that is read in fewer partitions than that, and is small for it, is
-    shuffled; a large one stays where it is read. Meant for work that costs far more per
-    row than moving the row does.
+    shuffled; a large one, or one that comes from a shuffle, stays where it is. Meant for
+    work that costs far more per row than moving the row does.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if partitions_of(df) < cores else df
+
+
+def apply_semantics(spark: SparkSession) -> None:
+    """Set what the engine relies on in a session that was made elsewhere."""
+    for key, value in SEMANTICS.items():
+        if spark.conf.get(key, None) != value:
+            spark.conf.set(key, value)
 
 
 _SHIPPED: set[str] = set()

@@ -15,16 +15,20 @@ SEPARATORS = {".csv": ",", ".tsv": "\t"}
 JSON = (".json", ".ndjson")
 
 
-def read_source(spark: SparkSession, path: str, typed: bool = False, multi_line: bool = True) -> DataFrame:
+def read_source(spark: SparkSession, path: str, typed: bool = False, multi_line: bool | None = None) -> DataFrame:
     """The rows of a file or folder of files, told apart by the suffix of ``path``.
 
     Without ``typed`` every column is text: booleans read ``True`` and ``False``, nulls and
     missing keys of JSON ``None``, empty and missing cells of CSV the empty text, nested
-    values JSON text. A CSV file needs a header; quoted cells may hold line breaks, which
-    makes a file one task; with ``multi_line`` off, large files are split.
+    values JSON text. A CSV file needs a header. Quoted cells may hold line breaks, which
+    makes a file one task; large files are split where no line has an odd number of
+    quotes, so that none can. ``multi_line`` says so beforehand and saves that look.
     """
     suffix = os.path.splitext(path.rstrip("/"))[1].lower()
     if suffix in SEPARATORS:
+        if multi_line is None:
+            odd = F.pmod(F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit(""))), F.lit(2))
+            multi_line = spark.read.text(path).where(odd == 1).first() is not None
         reader = spark.read.option("header", True).option("inferSchema", typed).option("multiLine", multi_line)
         frame = reader.option("sep", SEPARATORS[suffix]).option("quote", '"').option("escape", '"').csv(path)
         return frame if typed else frame.select(*(F.coalesce(F.col(_q(c)), F.lit("")).alias(c) for c in frame.columns))

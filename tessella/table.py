@@ -55,7 +55,7 @@ class Table:
 
     @classmethod
     def from_ingest_source(
-        cls, spark: SparkSession, path: str, source: str, num_segments: int = 1, typed: bool = False, multi_line: bool = True
+        cls, spark: SparkSession, path: str, source: str, num_segments: int = 1, typed: bool = False, multi_line: bool | None = None
     ) -> Table:
         """Read a file, write it as ``num_segments`` contiguous segments over whatever was at ``path``, and open it."""
         return cls.write(read_source(spark, source, typed, multi_line), path, num_segments)

@@ -73,9 +73,33 @@ def test_blocks_agree_with_the_strict_reader(records):
     loader = _Loader(SPEC)
     assert loader.batch(records)[0].to_pylist() == [_Loader(SPEC).strict(r)[1] for r in records]
     good = [r for r in records if loader.strict(r)[1] is None]
-    fields = loader.fast(good) if good else None
+    plain = [r for r in good if not set(r) & set("\n\r")]
+    fields = loader.columns(plain) if plain else None
     if fields is not None:
-        assert [list(r) for r in zip(*(f.to_pylist() for f in fields))] == [[c.strip(" \t") for c in split_strict(r)] for r in good]
+        assert [list(r) for r in zip(*(f.to_pylist() for f in fields))] == [split_strict(r) for r in plain]
+
+
+def test_only_isolated_records_are_read_strictly():
+    """At the rate of bad records of the test tables, all good records go the columnar way."""
+    good = ["5,6,7" + REST, ' 07 ,"a ""b""",.5e3' + REST, '1,"a\nb",None' + REST, '9223372036854775807,,"nan"' + REST]
+    bad = ["x,10,2" + REST, "1,2", '1,"2', "1,10,2e" + REST]
+    for every in (2, 15, 1000):
+        records = [bad[i % 4] if i % every == every - 1 else good[i % 4] for i in range(6000)]
+        loader = _Loader(MENU_ITEM)
+        reasons, _ = loader.batch(records)
+        failed = sum(r is not None for r in reasons.to_pylist())
+        assert failed == 6000 // every == loader.strictly
+        assert loader.tried < 6000 * min(2, 30 / every)
+
+
+def test_records_by_path(small):
+    """On the test tables, the strict reader sees the records that fail and hardly any other."""
+    import pyarrow.parquet as pq
+
+    loader = _Loader(MENU_ITEM)
+    reasons, _ = loader.batch(pq.read_table(f"{small}/menuitem_raw.parquet", columns=["raw"]).column("raw").to_pylist())
+    failed = sum(r is not None for r in reasons.to_pylist())
+    assert failed and loader.strictly <= failed + len(reasons) // 100
 
 
 def test_operator(spark):
