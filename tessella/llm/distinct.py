@@ -17,21 +17,17 @@ from math import exp, log, sqrt
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.keyed import NAMES, flat, merge_states, partial_states, parts_of
+from tessella.llm.keyed import NAMES, flat, merge_states, mix, partial_states
+from tessella.session import partitions_of
 
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Registers:
     """The sketch's parameters and its operations on an array of ``m`` registers."""
 
@@ -67,13 +63,13 @@ class Registers:
 
     def add(self, sketch: np.ndarray, codes: np.ndarray, counts: np.ndarray | None = None) -> None:
         """Let each element draw its numbers in ascending order, up to the last that can raise a register."""
-        hashes = _mix(codes.view(np.uint64))
+        hashes = mix(codes.view(np.uint64))
         at, size = 0, 16
         while at < len(hashes):
             h = hashes[at : at + size]
             at += size
             size = min(at, 1 << 15)
-            key = _mix(h ^ GOLDEN)
+            key = mix(h ^ GOLDEN)
             sofar = np.zeros(len(h))
             step = 0
             while len(h) and step < self.m:
@@ -81,7 +77,7 @@ class Registers:
                 expected = self.m * (1 - exp(-self.a * enough))  # numbers below it that an element draws, on average
                 n = int(min(self.m - step, max(1, self.DRAWS // len(h)), 4 + (expected if step == 0 else expected / 2)))
                 steps = np.arange(step, step + n, dtype=np.uint64)
-                uniform = ((_mix(h[:, None] + (steps + np.uint64(1)) * GOLDEN) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
+                uniform = ((mix(h[:, None] + (steps + np.uint64(1)) * GOLDEN) >> np.uint64(11)).astype(np.float64) + 1) * 2.0**-53
                 drawn = sofar[:, None] + np.cumsum(-np.log(uniform) / (self.a * (self.m - steps.astype(np.float64))), axis=1)
                 of, which = np.nonzero(drawn <= enough)
                 if len(of):
@@ -105,42 +101,53 @@ class Registers:
             return 0.0
         return self.m * (1 - 1 / self.b) / (self.a * self.ln_b * float(np.exp(-self.ln_b * sketch.astype(np.float64)).sum()))
 
-    def _jaccard(self, larger: int, smaller: int, equal: int, u: float, v: float) -> tuple[float, float]:
-        """The most likely Jaccard similarity, and its standard error, of sets that hold shares u and v of both counts."""
-        top = min(u / v, v / u)
+    def _jaccard(self, larger: np.ndarray, smaller: np.ndarray, equal: np.ndarray, u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The most likely Jaccard similarities, and their standard errors, of pairs of sets that hold shares u and v of both counts."""
+        top = np.minimum(u / v, v / u)
 
-        def p(x: float) -> float:
-            return -log(max(1e-300, 1 - max(x, 0.0) * (self.b - 1) / self.b)) / self.ln_b
+        def p(x: np.ndarray) -> np.ndarray:
+            return -np.log(np.maximum(1e-300, 1 - np.maximum(x, 0.0) * (self.b - 1) / self.b)) / self.ln_b
 
-        def likelihood(j: float) -> float:
+        def probability(j: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
             up, down = p(u - v * j), p(v - u * j)
-            return sum(d * log(max(q, 1e-300)) for d, q in ((larger, up), (smaller, down), (equal, 1 - up - down)) if d)
+            return up, down, 1 - up - down
+
+        def likelihood(j: np.ndarray) -> np.ndarray:
+            return sum(np.where(d > 0, d * np.log(np.maximum(q, 1e-300)), 0.0) for d, q in zip((larger, smaller, equal), probability(j)))
 
-        lo, hi, ratio = 0.0, top, (sqrt(5) - 1) / 2
+        lo, hi, ratio = np.zeros(len(top)), top.copy(), (sqrt(5) - 1) / 2
         for _ in range(60):  # the likelihood has one peak
             one, two = hi - ratio * (hi - lo), lo + ratio * (hi - lo)
-            if likelihood(one) < likelihood(two):
-                lo = one
-            else:
-                hi = two
-        j = max(((lo + hi) / 2, 0.0, top), key=likelihood)
-        near = min(max(j, 1e-4), top - 1e-6) if top > 2e-4 else j
+            rising = likelihood(one) < likelihood(two)
+            lo, hi = np.where(rising, one, lo), np.where(rising, hi, two)
+        choices = np.stack([(lo + hi) / 2, np.zeros(len(top)), top])
+        j = choices[np.stack([likelihood(c) for c in choices]).argmax(axis=0), np.arange(len(top))]
+        near = np.where(top > 2e-4, np.minimum(np.maximum(j, 1e-4), top - 1e-6), j)
         step = 1e-5
-        probability = lambda x: (p(u - v * x), p(v - u * x), 1 - p(u - v * x) - p(v - u * x))
         slopes = [(a - b) / (2 * step) for a, b in zip(probability(near + step), probability(near - step))]
-        information = self.m * sum(s * s / max(q, 1e-12) for s, q in zip(slopes, probability(near)))
+        information = self.m * sum(s * s / np.maximum(q, 1e-12) for s, q in zip(slopes, probability(near)))
         # the likelihood takes both counts as known; their own errors, alike as far as the sets are, come on top
         counts = 2 * j * j * (1 - j) / self.m
-        return j, sqrt((1 / information if information > 0 else 1.0) + counts)
+        return j, np.sqrt(np.where(information > 0, 1 / np.where(information > 0, information, 1.0), 1.0) + counts)
+
+    def counts(self, sketches: np.ndarray) -> np.ndarray:
+        """The count of each row of registers."""
+        total = np.exp(-self.ln_b * sketches.astype(np.float64)).sum(axis=1)
+        return np.where(sketches.any(axis=1), self.m * (1 - 1 / self.b) / (self.a * self.ln_b * total), 0.0)
+
+    def joints(self, left: np.ndarray, right: np.ndarray) -> dict[str, np.ndarray]:
+        """Estimates for pairs of sketched sets, a row of registers each."""
+        n, k = self.counts(left), self.counts(right)
+        j, error = np.zeros(len(n)), np.zeros(len(n))
+        some = np.flatnonzero((n > 0) & (k > 0))
+        if len(some):
+            x, y, total = left[some], right[some], (n + k)[some]
+            j[some], error[some] = self._jaccard((x > y).sum(axis=1), (x < y).sum(axis=1), (x == y).sum(axis=1), n[some] / total, k[some] / total)
+        return {"n_union": (n + k) / (1 + j), "n_both": (n + k) * j / (1 + j), "jaccard": j, "jaccard_error": error}
 
     def joint(self, left: np.ndarray, right: np.ndarray) -> dict[str, float]:
         """Estimates for two sketched sets."""
-        n, k = self.count(left), self.count(right)
-        if n == 0 or k == 0:
-            return {"n_union": n + k, "n_both": 0.0, "jaccard": 0.0, "jaccard_error": 0.0}
-        u, v = n / (n + k), k / (n + k)
-        j, error = self._jaccard(int((left > right).sum()), int((left < right).sum()), int((left == right).sum()), u, v)
-        return {"n_union": (n + k) / (1 + j), "n_both": (n + k) * j / (1 + j), "jaccard": j, "jaccard_error": error}
+        return {name: float(v[0]) for name, v in self.joints(left[None, :], right[None, :]).items()}
 
 
 def distinct_states(df: DataFrame, by: Sequence[str], value: str, kind: Registers | None = None, merge: bool = True) -> DataFrame:
@@ -154,12 +161,12 @@ def distinct_states(df: DataFrame, by: Sequence[str], value: str, kind: Register
     kind = kind or Registers()
     column = F.col(f"`{value}`")
     states = partial_states(df, by, F.when(column.isNotNull(), F.xxhash64(column)), kind)
-    return merge_states(states, by, kind, parts_of(df)) if merge else states
+    return merge_states(states, by, kind, partitions_of(df)) if merge else states
 
 
-def merged(states: DataFrame, by: Sequence[str], kind: Registers | None = None, parts: int = 1) -> DataFrame:
+def merged(states: DataFrame, by: Sequence[str], kind: Registers | None = None, parts: int | None = None) -> DataFrame:
     """The states of coarser groups, or of several days or segments together; see :func:`merge_states` for ``parts``."""
-    return merge_states(states, by, kind or Registers(), parts)
+    return merge_states(states, by, kind or Registers(), partitions_of(states) if parts is None else parts)
 
 
 def distinct_counts(states: DataFrame, by: Sequence[str], kind: Registers | None = None) -> DataFrame:
@@ -182,6 +189,8 @@ def distinct_counts(states: DataFrame, by: Sequence[str], kind: Registers | None
     return states.select(*(F.col(f"`{c}`") for c in by), *NAMES).mapInArrow(run, schema)
 
 
+#: Pairs of states unpacked at once.
+ROWS = 256
 OVERLAP = ["n_left", "n_right", "n_union", "n_both", "jaccard", "jaccard_error"]
 
 
@@ -197,27 +206,36 @@ def overlaps(pairs: DataFrame, keep: Sequence[str], kind: Registers | None = Non
         raise ValueError("kept columns may not bear the name of an output")
     schema = T.StructType([*(pairs.schema[c] for c in keep), *(T.StructField(c, T.DoubleType()) for c in OVERLAP)])
 
-    def sketched(codes: set, data: bytes | None) -> np.ndarray:
-        if data is not None:
-            return kind.unpack(data)
-        sketch = kind.empty()
-        kind.add(sketch, np.array(sorted(codes), np.int64))
-        return sketch
+    def parts(states: pa.StructArray) -> tuple:
+        row, codes, _, packed = flat(pa.RecordBatch.from_arrays([pc.struct_field(states, name) for name in NAMES], names=NAMES), False)
+        return row, codes, dict(packed)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for a, b in zip(batch.column("left").to_pylist(), batch.column("right").to_pylist()):
-                (left, one), (right, two) = ((set((s or {}).get("codes") or ()), (s or {}).get("sketch")) for s in (a, b))
-                if one is None and two is None:
-                    union, both = len(left | right), len(left & right)
-                    rows.append([len(left), len(right), union, both, both / union if union else 0.0, 0.0])
-                else:
-                    x, y = sketched(left, one), sketched(right, two)
-                    found = kind.joint(x, y)
-                    counts = [kind.count(s) if data is not None else len(codes) for codes, data, s in ((left, one, x), (right, two, y))]
-                    rows.append([*counts, *found.values()])
-            columns = [pa.array(np.array([r[i] for r in rows], np.float64)) for i in range(len(OVERLAP))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *columns], names=schema.names)
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):
+                batch = whole.slice(at, ROWS)
+                sides = [parts(batch.column(side)) for side in ("left", "right")]
+                sizes = [np.bincount(row, minlength=batch.num_rows) for row, _, _ in sides]
+                # exact states: codes of both sides next to each other, row by row
+                row, codes = (np.concatenate([s[i] for s in sides]) for i in (0, 1))
+                order = np.lexsort((codes, row))
+                row, codes = row[order], codes[order]
+                same = np.bincount(row[1:][(row[1:] == row[:-1]) & (codes[1:] == codes[:-1])], minlength=batch.num_rows)
+                union = sizes[0] + sizes[1] - same
+                out = [*(s.astype(np.float64) for s in sizes), union.astype(np.float64), same.astype(np.float64), np.divide(same, union, out=np.zeros(len(union)), where=union > 0), np.zeros(len(union))]
+                some = sorted(sides[0][2].keys() | sides[1][2].keys())
+                if some:
+                    sketches = np.zeros((2, len(some), kind.m), np.int32)
+                    for side, (of, codes, packed) in enumerate(sides):
+                        for i, r in enumerate(some):
+                            if r in packed:
+                                sketches[side, i] = kind.unpack(packed[r])
+                            else:
+                                kind.add(sketches[side, i], codes[np.searchsorted(of, r) : np.searchsorted(of, r, side="right")])
+                        held = np.array([r in packed for r in some])
+                        out[side][some] = np.where(held, kind.counts(sketches[side]), sizes[side][some])
+                    for column, values in zip(out[2:], kind.joints(*sketches).values()):
+                        column[some] = values
+                yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *(pa.array(c, pa.float64()) for c in out)], names=schema.names)
 
     return pairs.select(*(F.col(f"`{c}`") for c in keep), "left", "right").mapInArrow(run, schema)

@@ -5,7 +5,8 @@ counted first; only those that could still hold a value above the lower bound ar
 kept and lengthened, and only rows under the prefixes that remain at the end are
 counted by full value. The bound is a share of all rows, or the k-th highest true
 count among the values under the k fullest prefixes. Each step is a native aggregate
-over one column, whose groups in any task are few.
+over one column, so what is shuffled are partial counts and never rows; the prefixes
+of a step reach the driver, and the next step as a filter, only if they are few.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from math import ceil
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +23,8 @@ from pyspark.sql import types as T
 FIRST_BITS = 16
 #: As many retained prefixes are written into the filter itself; more are joined.
 LITERALS = 300
+#: As many prefixes make a filter; where more could hold a value above the bound, a step prunes too little to be worth it.
+KEPT = 1 << 18
 
 
 def _prefix(bits: int) -> Column:
@@ -32,10 +36,10 @@ def _counted(rows: DataFrame, key: Column, name: str) -> DataFrame:
 
 
 def _under(rows: DataFrame, prefixes: Sequence[int], bits: int) -> DataFrame:
-    """The rows whose hash begins with one of at most 2**16 prefixes."""
+    """The rows whose hash begins with one of at most ``KEPT`` prefixes."""
     if len(prefixes) <= LITERALS:
         return rows.where(_prefix(bits).isin(list(prefixes)))
-    held = rows.sparkSession.createDataFrame([(int(p),) for p in prefixes], "p long")
+    held = rows.sparkSession.createDataFrame(pa.table({"p": pa.array(prefixes, pa.int64())}))  # 2 MB at most
     return rows.join(F.broadcast(held), _prefix(bits) == F.col("p"), "left_semi")
 
 
@@ -47,9 +51,9 @@ def frequent_values(
     ``min_share`` is a fraction (numerator, denominator). Counts are exact. All rows
     count, repeated ones too; nulls take no part, NaN is a value, and 0.0 and -0.0 are
     one. Ties for the last of ``k`` places go to the smaller value. An empty table or
-    one of nulls alone gives no rows. With ``min_share`` every step keeps at most
-    denominator / numerator prefixes; with ``k`` only those whose count reaches the
-    k-th best known one, which are joined, not broadcast, after the first step.
+    one of nulls alone gives no rows. With ``min_share`` no more than denominator /
+    numerator prefixes can reach the bound, with ``k`` all whose count reaches the k-th
+    best known one; a step that would keep more than ``KEPT`` is passed over.
     """
     if (k is None) == (min_share is None):
         raise ValueError("give either k or min_share")
@@ -63,13 +67,13 @@ def frequent_values(
         least = max(1, ceil(sum(r["n"] for r in first) * of / whole))
     else:
         fullest = [r["p"] for r in sorted(first, key=lambda r: (-r["n"], r["p"]))[:k]]
-        best = _counted(_under(rows, fullest, FIRST_BITS), F.col("v"), "value").orderBy(F.desc("n")).limit(k).collect()
-        least = best[-1]["n"] if len(best) == k else 1
+        best = _counted(_under(rows, fullest, FIRST_BITS), F.col("v"), "value").orderBy(F.desc("n")).limit(k)
+        known, last = best.agg(F.count(F.lit(1)), F.min("n")).first()
+        least = last if known == k else 1
     rows = _under(rows, [r["p"] for r in first if r["n"] >= least], FIRST_BITS)
     for bits in longer:
-        kept = _counted(rows, _prefix(bits), "p").where(F.col("n") >= least)
-        if min_share is not None:
-            kept = F.broadcast(kept)  # no more than whole / of prefixes can reach the bound
-        rows = rows.join(kept, _prefix(bits) == F.col("p"), "left_semi")
+        kept = _counted(rows, _prefix(bits), "p").where(F.col("n") >= least).select("p").limit(KEPT + 1).toArrow().column("p").to_pylist()
+        if len(kept) <= KEPT:
+            rows = _under(rows, kept, bits)
     counts = _counted(rows, F.col("v"), "value").where(F.col("n") >= least)
     return counts if k is None else counts.orderBy(F.desc("n"), F.asc("value")).limit(k)

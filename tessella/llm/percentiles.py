@@ -23,7 +23,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.keyed import NAMES, flat, merge_states, partial_states, parts_of
+from tessella.llm.keyed import NAMES, flat, merge_states, mix, partial_states
+from tessella.session import partitions_of
 
 SIGN = np.uint64(1 << 63)
 
@@ -38,12 +39,6 @@ def decode_double(codes: np.ndarray) -> np.ndarray:
     return (codes ^ ((codes >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64)
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
 class Dyadic:
     """The sketch's parameters and its operations on one flat array of counters."""
 
@@ -73,7 +68,7 @@ class Dyadic:
         return np.zeros(self.size, np.int64)
 
     def _cells(self, nodes: np.ndarray, level: int) -> tuple[np.ndarray, np.ndarray]:
-        h = _mix(nodes + self.seeds[level])
+        h = mix(nodes + self.seeds[level])
         rows = np.arange(self.depth, dtype=np.uint64)[:, None]
         part = h[None, :] >> (rows * np.uint64(self.bits + 1))
         cell = (part & np.uint64(self.width - 1)).astype(np.int64) + np.arange(self.depth)[:, None] * self.width
@@ -138,12 +133,16 @@ def percentile_states(df: DataFrame, by: Sequence[str], value: str, kind: Dyadic
     kind = kind or Dyadic()
     number = F.col(f"`{value}`").cast("double")
     states = partial_states(df, by, F.when(~F.isnan(number), number), kind, None if weight is None else F.col(f"`{weight}`"), encode_double)
-    return merge_states(states, by, kind, parts_of(df))
+    return merge_states(states, by, kind, partitions_of(df))
 
 
-def merged(states: DataFrame, by: Sequence[str], kind: Dyadic | None = None) -> DataFrame:
-    """The states of coarser groups, or of several days or segments together."""
-    return merge_states(states, by, kind or Dyadic())
+def merged(states: DataFrame, by: Sequence[str], kind: Dyadic | None = None, parts: int | None = None) -> DataFrame:
+    """The states of coarser groups, or of several days or segments together.
+
+    ``parts`` is the number of partitions that may each hold states of a group; where it
+    is not given, it is taken from the plan. See :func:`merge_states`.
+    """
+    return merge_states(states, by, kind or Dyadic(), partitions_of(states) if parts is None else parts)
 
 
 def negated(states: DataFrame, kind: Dyadic | None = None) -> DataFrame:

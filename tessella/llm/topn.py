@@ -15,6 +15,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,21 +28,26 @@ def _first_n(by: Sequence[str], ident: str, n: int, rank: str | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key: tuple | None = None
-        taken = 0
-        taken_ids: set = set()
+        taken, taken_ids = 0, None
         for batch in batches:
             if batch.num_rows == 0:
                 continue
             starts = run_starts(batch, by)
             continued = open_key is not None and key_of(batch, 0, by) == open_key
+            if continued and taken >= n:
+                # the open group is full, however many of its rows follow
+                rest = int(np.flatnonzero(starts)[1]) if starts.sum() > 1 else batch.num_rows
+                batch, starts, continued = batch.slice(rest), starts[rest:], False
+                if batch.num_rows == 0:
+                    continue
             group = np.cumsum(starts) - 1
             ids = batch.column(ident)
             known = ~ids.is_null().to_numpy(zero_copy_only=False)
             number = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)
             again = pd.DataFrame({"g": group, "i": number}).duplicated().to_numpy() & known
-            if continued and taken_ids:
+            if continued and len(taken_ids):
                 here = int(np.searchsorted(group, 1))
-                again[:here] |= np.fromiter((v.as_py() in taken_ids for v in ids.slice(0, here)), bool, here)
+                again[:here] |= pc.is_in(ids.slice(0, here), value_set=taken_ids, skip_nulls=True).to_numpy(zero_copy_only=False)
             fresh = ~again
             count = np.cumsum(fresh)
             first = np.flatnonzero(starts)
@@ -52,10 +58,10 @@ def _first_n(by: Sequence[str], ident: str, n: int, rank: str | None):
             keep = fresh & (place <= n)
             last = int(first[-1])
             if not (continued and last == 0):
-                open_key, taken, taken_ids = key_of(batch, last, by), 0, set()
-            mine = np.flatnonzero(keep[last:]) + last
+                open_key, taken, taken_ids = key_of(batch, last, by), 0, ids.slice(0, 0)
+            mine = ids.take(pa.array(np.flatnonzero(keep[last:]) + last)).drop_null()
             taken += int(fresh[last:].sum())
-            taken_ids |= {v.as_py() for v in ids.take(pa.array(mine)) if v.is_valid}
+            taken_ids = pa.concat_arrays([taken_ids, mine])  # at most n
             out = batch.filter(pa.array(keep))
             if rank is not None:
                 out = out.append_column(rank, pa.array(place[keep].astype(np.int32)))
