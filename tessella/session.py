@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zipfile
@@ -72,10 +73,11 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 def partitions_of(df: DataFrame) -> int:
     """In how many partitions a DataFrame comes, found without running any of it.
 
-    A plan with a shuffle comes in as many as shuffles make, or fewer.
+    A plan with shuffles comes in as many as the widest of them makes, or fewer.
     """
-    if "Exchange" in df._jdf.queryExecution().executedPlan().toString():
-        return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan:
+        return max(map(int, re.findall(r"Exchange \w+\((?:.*, )?(\d+)\)", plan)), default=1)
     return df.rdd.getNumPartitions()
 
 
