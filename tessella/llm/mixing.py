@@ -17,9 +17,10 @@ import base64
 import heapq
 from collections.abc import Iterator, Mapping
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -27,9 +28,12 @@ from tessella.functions.runs import by_bytes
 from tessella.session import reliable_checkpoint, spread
 
 #: Sources that may be named, so that what the driver holds is bounded.
-MAX_SOURCES = 10_000
-#: Blocks into which a selection is cut at most, and documents of mean size in a block at least.
-MAX_BLOCKS, BLOCK_DOCUMENTS = 1 << 16, 8
+MAX_SOURCES = 100_000
+#: Blocks into which a selection is cut at most, and documents of mean size in a block at least. So many
+#: blocks are put in order in some minutes by one task; at 100 TB of text a block is then 0.4 million tokens.
+MAX_BLOCKS, BLOCK_DOCUMENTS = 1 << 26, 8
+#: Blocks whose order is broadcast; that of more is joined by a shuffle.
+BROADCAST_BLOCKS = 1 << 16
 #: Documents of a source in one bucket of the running sum, about; and bits of the bucket's number at most.
 BUCKET_DOCUMENTS, BUCKET_BITS = 20_000, 20
 
@@ -84,23 +88,40 @@ def apportion(shares: Mapping[str, float], blocks: int) -> dict[str, int]:
     return dealt
 
 
-def pfair(blocks: Mapping[str, int]) -> list[str]:
-    """The source of each slot, earliest deadline first among blocks that are released."""
+def pfair(blocks: Mapping[str, int]) -> Iterator[tuple[str, int]]:
+    """(source, block) for each slot, earliest deadline first among blocks that are released."""
     total = sum(blocks.values())
     names = sorted(s for s, n in blocks.items() if n)
     waiting = [(0, k, 0) for k in range(len(names))]  # release, source, block
     ready: list[tuple[int, int, int]] = []  # deadline, source, block
-    slots = []
     for slot in range(total):
         while waiting and waiting[0][0] <= slot:
             _, k, i = heapq.heappop(waiting)
             heapq.heappush(ready, (-(-(i + 1) * total // blocks[names[k]]), k, i))
         deadline, k, i = heapq.heappop(ready)
         assert deadline > slot
-        slots.append(names[k])
+        yield names[k], i
         if i + 1 < blocks[names[k]]:
             heapq.heappush(waiting, ((i + 1) * total // blocks[names[k]], k, i + 1))
-    return slots
+
+
+def _slots(spark: SparkSession, blocks: Mapping[str, int]) -> DataFrame:
+    """(__s, __block, slot) in a stream from one task, so that neither the driver nor the task holds the list."""
+    held = dict(blocks)
+    schema = T.StructType([T.StructField("__s", T.StringType()), T.StructField("__block", T.IntegerType()), T.StructField("slot", T.IntegerType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not sum(batch.num_rows for batch in batches):
+            return
+        order, first = pfair(held), 0
+        while part := list(islice(order, 1 << 14)):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([s for s, _ in part], pa.string()), pa.array([i for _, i in part], pa.int32()), pa.array(range(first, first + len(part)), pa.int32())], names=schema.names
+            )
+            first += len(part)
+
+    slots = spark.range(1, numPartitions=1).mapInArrow(run, schema)
+    return F.broadcast(slots) if sum(held.values()) <= BROADCAST_BLOCKS else slots
 
 
 def mix_sources(
@@ -151,10 +172,6 @@ def mix_sources(
     docs = sum(d for _, d in held.values())
     mean = sum(n for n, _ in held.values()) / docs if docs else 1
     blocks = apportion(share, min(MAX_BLOCKS, max(len(held), int(total / (BLOCK_DOCUMENTS * mean))))) if held else {}
-    slots, number = [], dict.fromkeys(blocks, 0)
-    for slot, s in enumerate(pfair(blocks)):
-        slots.append((s, number[s], slot))
-        number[s] += 1
 
     bits = min(BUCKET_BITS, max(0, max((d for _, d in held.values()), default=0) // BUCKET_DOCUMENTS).bit_length())
     placed = counted.withColumn("__b", F.shiftrightunsigned(F.col("__o") + F.lit(0), 64 - bits) if bits else F.lit(0).cast("long"))
@@ -173,8 +190,7 @@ def mix_sources(
         .where("__middle <= __quota")
         .withColumn("__block", F.least(F.floor(F.col("__middle") * F.col("__blocks") / F.col("__quota")).cast("int"), F.col("__blocks") - 1))
     )
-    order = spark.createDataFrame(slots, "__s string, __block int, slot int")
-    selection = uses.join(F.broadcast(order), ["__s", "__block"]).select(  # at most MAX_BLOCKS rows
+    selection = uses.join(_slots(spark, blocks), ["__s", "__block"]).select(
         F.col("__d").alias(doc_id), F.col("__s").alias(source), (F.col("__use") + 1).alias("use_no"), F.col("__n").alias("n_tokens"), "slot", "place"
     )
     reached = selection.groupBy(F.col(source).alias("__r")).agg(F.sum("n_tokens").alias("selected_tokens"), F.max("use_no").alias("most_uses"))

@@ -5,6 +5,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from tessella.llm import mixing
 from tessella.llm.mixing import apportion, count_tokens, default_tokenizer, mix_sources, pfair
 
 TARGETS = "source string, target_share double, max_repeats int"
@@ -14,7 +15,9 @@ TARGETS = "source string, target_share double, max_repeats int"
 @given(st.lists(st.integers(1, 400), min_size=1, max_size=9))
 def test_every_prefix_is_within_a_block_of_every_share(sizes):
     blocks = {f"s{i}": n for i, n in enumerate(sizes)}
-    slots, total = pfair(blocks), sum(sizes)
+    order, total = list(pfair(blocks)), sum(sizes)
+    slots = [s for s, _ in order]
+    assert sorted(order) == [(s, i) for s in sorted(blocks) for i in range(blocks[s])]
     given_so_far = dict.fromkeys(blocks, 0)
     for t, s in enumerate(slots, 1):
         given_so_far[s] += 1
@@ -96,3 +99,11 @@ def test_given_total_and_errors(spark):
     assert selection.count() == 0 and {r["selected_tokens"] for r in report.collect()} == {0}
     with pytest.raises(ValueError):
         mix_sources(frame, targets.union(targets))
+
+
+def test_order_of_many_blocks_is_joined_by_a_shuffle(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, "ab"[i % 3 == 0], "word " * (1 + i % 7)) for i in range(2000)], "doc_id long, source string, text string")
+    targets = spark.createDataFrame([("a", 0.6, 1), ("b", 0.4, 2)], TARGETS)
+    each = sorted(map(tuple, mix_sources(rows, targets)[0].collect()))
+    monkeypatch.setattr(mixing, "BROADCAST_BLOCKS", 0)
+    assert sorted(map(tuple, mix_sources(rows, targets)[0].collect())) == each and len(each) > 100
