@@ -185,7 +185,8 @@ class Planner:
                 return _COMPARE[op](a, F.lit(str(value)))
             return _COMPARE[op](a.try_cast("double"), F.lit(float(value)))
         typed = _typed(value, ka)
-        return _COMPARE[op](a, typed) if typed is not None else F.lit(op == "<>")
+        # a literal that is none of the column's values differs from all of them
+        return _COMPARE[op](a, typed) if typed is not None else F.when(a.isNotNull(), F.lit(op == "<>"))
 
     def _rows(self, frame: DataFrame, items: list[Item], order: list[tuple[Node, bool]], limit: int | None) -> DataFrame:
         keys = []

@@ -71,14 +71,13 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
 
 
 def partitions_of(df: DataFrame) -> int:
-    """In how many partitions a DataFrame comes, found without running any of it.
+    """In how many partitions a DataFrame comes, found without running more of it than tables to be broadcast.
 
     A plan with shuffles comes in as many as the widest of them makes, or fewer.
     """
     plan = df._jdf.queryExecution().executedPlan().toString()
-    if "Exchange" in plan:
-        return max(map(int, re.findall(r"Exchange \w+\((?:.*, )?(\d+)\)", plan)), default=1)
-    return df.rdd.getNumPartitions()
+    shuffles = re.findall(r"(?<!Broadcast)Exchange (?:SinglePartition|\w+\((?:.*, )?(\d+)\))", plan)
+    return max(int(n or 1) for n in shuffles) if shuffles else df.rdd.getNumPartitions()
 
 
 def spread(df: DataFrame) -> DataFrame:

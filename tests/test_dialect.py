@@ -139,3 +139,43 @@ def test_segments_make_no_difference(spark, tmp_path_factory, rows, segments):
     cut = QueryExecutor(Table.write(frame, str(tmp_path_factory.mktemp("cut") / "t"), segments))
     sql = "SELECT k, COUNT(*) AS c, SUM(v) AS s, AVG(v) AS a, COUNT(DISTINCT v) AS d GROUP BY k ORDER BY k"
     assert cut.execute(sql).get_results() == QueryExecutor(Table.from_dataframe(frame)).execute(sql).get_results()
+
+
+@pytest.mark.parametrize(
+    "where, expected",
+    [
+        ("id = '9007199254740993'", [2]),
+        ("id = 9007199254740993", [2]),
+        ("id = '9007199254740992.0'", [1]),
+        ("id = '9007199254740992.5'", []),
+        ("id > '9007199254740992.5'", [2, 3]),
+        ("id <> '9007199254740992.5'", [0, 1, 2, 3]),
+        ("id = '9223372036854775807'", [3]),
+        ("id >= 9223372036854775807", [3]),
+        ("id < 9223372036854775808", [0, 1, 2, 3]),
+        ("id = '9223372036854775808'", []),
+        ("id > '-1e30'", [0, 1, 2, 3]),
+        ("id = ' 7 '", [0]),
+        ("id = 'seven'", []),
+        ("id <> 'seven'", [0, 1, 2, 3]),
+        ("id IN (7, '9007199254740993', 'seven', 1.5, 9223372036854775808)", [0, 2]),
+        ("NOT id IN (7, '9007199254740993')", [1, 3]),
+        ("id IN ('seven')", []),
+        ("NOT id IN ('seven')", [0, 1, 2, 3]),
+    ],
+)
+def test_whole_numbers_are_compared_exactly(spark, where, expected):
+    frame = spark.createDataFrame([(0, 7), (1, 2**53), (2, 2**53 + 1), (3, 2**63 - 1), (4, None)], "n int, id long")
+    assert [r[0] for r in QueryExecutor(Table.from_dataframe(frame)).execute(f"SELECT n WHERE {where} ORDER BY n").get_results()] == expected
+
+
+def test_sets_reach_the_scan(spark, tmp_path):
+    spark.createDataFrame([(1, "a"), (2, "b")], "id long, t string").write.parquet(str(tmp_path / "t"))
+    plan = QueryExecutor(Table.from_data_dir(spark, str(tmp_path / "t"))).dataframe("SELECT id WHERE id IN ('1', 2) AND t IN ('a', 'c')")._jdf.queryExecution().executedPlan().toString()
+    assert "In(id, [1,2])" in plan and "In(t, [a,c])" in plan
+
+
+def test_a_missing_value_is_one_distinct_value(spark):
+    frame = spark.createDataFrame([("x", "a"), ("x", None), ("x", None), ("y", "a"), ("y", "b"), ("z", None)], "k string, v string")
+    result = QueryExecutor(Table.from_dataframe(frame)).execute("SELECT k, COUNT(DISTINCT v) AS n GROUP BY k ORDER BY k")
+    assert result.get_results() == [["x", 2], ["y", 2], ["z", 1]]

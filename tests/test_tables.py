@@ -114,3 +114,26 @@ def test_files_are_taken_in_once(spark, tmp_path):
     for _ in range(2):
         table = ingest_available(spark, incoming, spark.range(1).schema, path, progress)
         assert table.frame.select("id").distinct().count() == table.frame.count() == 15
+
+
+def test_a_stream_goes_on_after_the_segments_there_are(spark, tmp_path):
+    incoming, path = str(tmp_path / "in"), str(tmp_path / "t")
+    old = spark.range(100, 102)
+    Table.write(old, path, 2)
+    spark.range(10).write.parquet(incoming)
+    for progress, rows in (("p", 12), ("p", 12), ("q", 22)):  # a new progress folder takes everything in again, over nothing
+        table = ingest_available(spark, incoming, old.schema, path, str(tmp_path / progress))
+        assert table.frame.count() == rows
+    assert table.segments == [0, 1, 2, 3]
+    spark.range(10, 11).write.mode("append").parquet(incoming)
+    assert sorted(r[0] for r in ingest_available(spark, incoming, old.schema, path, str(tmp_path / "p")).frame.select("id").collect()).count(10) == 1
+
+
+def test_csv_is_split_where_no_cell_breaks_a_line(spark, tmp_path):
+    plain, broken = tmp_path / "plain.csv", tmp_path / "broken.csv"
+    plain.write_text('a,b\n1,"x, y"\n2,"say ""hi"""\n')
+    broken.write_text('a,b\n1,"x\ny"\n')
+    assert [tuple(r) for r in read_source(spark, str(plain)).collect()] == [("1", "x, y"), ("2", 'say "hi"')]
+    assert [tuple(r) for r in read_source(spark, str(broken)).collect()] == [("1", "x\ny")]
+    for path, lines in ((plain, False), (broken, True)):
+        assert rows(read_source(spark, str(path))) == rows(read_source(spark, str(path), multi_line=lines))
