@@ -369,6 +369,8 @@ class _Passage:
         place = np.searchsorted(self.grams, doc.grams)
         place[place == len(self.grams)] = 0
         same = self.grams[place] == doc.grams
+        if np.count_nonzero(same) < min(least for least, _ in self.least):
+            return None
         upto = np.concatenate([[0], np.cumsum(same)])
         lo, hi = len(doc.parted), 0
         for least, span in self.least:
