@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import re
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -55,11 +57,24 @@ def reliable_checkpoint(df: DataFrame) -> DataFrame:
         if folder is None:
             if not context.master.startswith("local"):
                 raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="tessella-checkpoint-")
+            folder = _temporary("checkpoint")
         context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
 
 
+def _temporary(name: str) -> str:
+    """A folder on this machine that is removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix=f"tessella-{name}-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
+def drop_folder(spark: SparkSession, folder: str) -> None:
+    """Remove a folder of which nothing is read any more, wherever it is."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_folder(spark: SparkSession, name: str) -> str:
     """A new folder for a table to be written, in the shared folder of the cluster or, on one machine without one, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
@@ -67,7 +82,7 @@ def scratch_folder(spark: SparkSession, name: str) -> str:
         return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
     if not spark.sparkContext.master.startswith("local"):
         raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{tempfile.mkdtemp(prefix='tessella-')}/{name}"
+    return f"{_temporary('scratch')}/{name}"
 
 
 def partitions_of(df: DataFrame) -> int:
@@ -112,7 +127,7 @@ def ship_package(spark: SparkSession) -> None:
     if context.applicationId in _SHIPPED:
         return
     package = Path(__file__).resolve().parent
-    archive = Path(tempfile.mkdtemp(prefix="tessella-package-"), "tessella_package.zip")
+    archive = Path(_temporary("package"), "tessella_package.zip")
     with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
         for file in sorted(package.rglob("*.py")):
             out.write(file, file.relative_to(package.parent))

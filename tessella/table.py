@@ -9,26 +9,33 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.session import drop_folder, scratch_folder
 from tessella.sources.files import read_source
 
 SEGMENT, ROW = "_segment", "_row"
 HIDDEN = (SEGMENT, ROW)
 
 
-def _numbered(df: DataFrame) -> tuple[DataFrame, int]:
-    """``df`` with each row's place in the order of its partitions, and the number of rows.
+def _numbered(df: DataFrame) -> tuple[DataFrame, int, str]:
+    """``df`` with each row's place in the order of its partitions, the number of rows, and a folder to be dropped afterwards.
 
-    Only the partitions' sizes reach the driver; the rows are not shuffled.
+    The input is run once and kept in the scratch folder with each row's partition and
+    place in it, so that numbers hold together even where it would not come out alike
+    twice. Only the partitions' sizes reach the driver; the rows are not shuffled.
     """
+    spark = df.sparkSession
+    folder = scratch_folder(spark, "numbered")
     placed = df.withColumn("__part", F.spark_partition_id()).withColumn("__in", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    placed.write.parquet(folder)
+    placed = spark.read.schema(placed.schema).parquet(folder)
     sizes = {r["__part"]: r["count"] for r in placed.groupBy("__part").count().collect()}
     firsts, total = [], 0
     for part in sorted(sizes):
         firsts.append((part, total))
         total += sizes[part]
-    starts = df.sparkSession.createDataFrame(firsts, "__part int, __first long")
+    starts = spark.createDataFrame(firsts, "__part int, __first long")
     # one row per partition of the input
-    return placed.join(F.broadcast(starts), "__part").withColumn(ROW, F.col("__first") + F.col("__in")).drop("__part", "__in", "__first"), total
+    return placed.join(F.broadcast(starts), "__part").withColumn(ROW, F.col("__first") + F.col("__in")).drop("__part", "__in", "__first"), total, folder
 
 
 class Table:
@@ -71,18 +78,22 @@ class Table:
             raise ValueError("num_segments must be at least 1")
         if set(HIDDEN) & set(frame.columns):
             raise ValueError(f"columns may not be named {' or '.join(HIDDEN)}")
-        numbered, n = _numbered(frame)
+        numbered, n, folder = _numbered(frame)
         size = max(1, ceil(n / num_segments))
         blooms = {f"parquet.bloom.filter.enabled#{c}": "true" for c in index}
         numbered.withColumn(SEGMENT, F.floor(F.col(ROW) / size).cast("int")).write.mode("overwrite").options(**blooms).partitionBy(SEGMENT).parquet(path)
-        return cls.from_data_dir(frame.sparkSession, path) if n else cls(numbered.withColumn(SEGMENT, F.lit(0)))
+        if not n:
+            return cls(numbered.withColumn(SEGMENT, F.lit(0)))
+        drop_folder(frame.sparkSession, folder)
+        return cls.from_data_dir(frame.sparkSession, path)
 
     def append(self, frame: DataFrame, path: str) -> Table:
         """Add rows as one more segment after those there are."""
         last = self.frame.agg(F.max(SEGMENT), F.max(ROW)).first()
-        numbered, _ = _numbered(frame.select(*self.column_names()))
+        numbered, _, folder = _numbered(frame.select(*self.column_names()))
         after = numbered.withColumn(ROW, F.col(ROW) + F.lit((-1 if last[1] is None else last[1]) + 1))
         after.withColumn(SEGMENT, F.lit((-1 if last[0] is None else last[0]) + 1)).write.mode("append").partitionBy(SEGMENT).parquet(path)
+        drop_folder(frame.sparkSession, folder)
         return Table.from_data_dir(frame.sparkSession, path)
 
     def column_names(self) -> list[str]:
