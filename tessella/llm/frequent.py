@@ -12,8 +12,8 @@ of a step reach the driver, and the next step as a filter, only if they are few.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import ceil
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -44,7 +44,7 @@ def _under(rows: DataFrame, prefixes: Sequence[int], bits: int) -> DataFrame:
 
 
 def frequent_values(
-    df: DataFrame, column: str, k: int | None = None, min_share: tuple[int, int] | None = None, longer: Sequence[int] = (32, 48)
+    df: DataFrame, column: str, k: int | None = None, min_share: tuple[int, int] | None = None, longer: Sequence[int] = (32,)
 ) -> DataFrame:
     """(value, n): the ``k`` most frequent values, or all that stand in at least ``min_share`` of the non-null rows.
 
@@ -53,7 +53,9 @@ def frequent_values(
     one. Ties for the last of ``k`` places go to the smaller value. An empty table or
     one of nulls alone gives no rows. With ``min_share`` no more than denominator /
     numerator prefixes can reach the bound, with ``k`` all whose count reaches the k-th
-    best known one; a step that would keep more than ``KEPT`` is passed over.
+    best known one; a step that would keep more than ``KEPT`` is passed over. ``longer`` are
+    the bits of the steps between the first prefixes and full values; beyond some
+    thousand million different values (32, 48) prunes better.
     """
     if (k is None) == (min_share is None):
         raise ValueError("give either k or min_share")
@@ -61,16 +63,17 @@ def frequent_values(
     if isinstance(df.schema[column].dataType, (T.DoubleType, T.FloatType)):
         value = F.when(value == 0, F.lit(0.0)).when(F.isnan(value), F.lit(float("nan"))).otherwise(value)
     rows = df.select(value.alias("v")).where(F.col("v").isNotNull())
-    first = _counted(rows, _prefix(FIRST_BITS), "p").collect()  # at most 2**16 rows
+    first = _counted(rows, _prefix(FIRST_BITS), "p").toArrow()  # at most 2**16 rows
+    prefix, times = (first.column(c).to_numpy() for c in ("p", "n"))
     if min_share is not None:
         of, whole = min_share
-        least = max(1, ceil(sum(r["n"] for r in first) * of / whole))
+        least = max(1, -(-int(times.sum()) * of // whole))
     else:
-        fullest = [r["p"] for r in sorted(first, key=lambda r: (-r["n"], r["p"]))[:k]]
+        fullest = prefix[np.lexsort((prefix, -times))[:k]].tolist()
         best = _counted(_under(rows, fullest, FIRST_BITS), F.col("v"), "value").orderBy(F.desc("n")).limit(k)
         known, last = best.agg(F.count(F.lit(1)), F.min("n")).first()
         least = last if known == k else 1
-    rows = _under(rows, [r["p"] for r in first if r["n"] >= least], FIRST_BITS)
+    rows = _under(rows, prefix[times >= least].tolist(), FIRST_BITS)
     for bits in longer:
         kept = _counted(rows, _prefix(bits), "p").where(F.col("n") >= least).select("p").limit(KEPT + 1).toArrow().column("p").to_pylist()
         if len(kept) <= KEPT:
