@@ -40,11 +40,12 @@ TIERS = ((8, 4), (5, 3), (3, 2))
 COVERS = 2
 #: Words of one segment of a passage, and words it shares with the next, so that a stretch lies in one of them.
 SEGMENT, SHARED = 160, LONGEST + 1
-#: Documents and characters from which the grams' frequencies are guessed, and the counters that hold them.
-SAMPLE_DOCUMENTS, SAMPLE_CHARS, COUNTER_BITS = 2048, 1 << 23, 20
+#: Documents from which the grams' frequencies are guessed, characters of them in one task and tasks, and bits of the counters.
+SAMPLE_DOCUMENTS, SAMPLE_CHARS, SAMPLE_TASKS, COUNTER_BITS = 4096, 1 << 22, 4, 20
 #: Bits of the filter that chosen grams pass, so many for each of them and at most 64 MB.
 BITS_EACH, LEAST_BITS, MOST_BITS = 64, 16, 29
-FILTER_TASKS = 16
+#: Fingerprints that one task puts into a filter, and tasks at most.
+FILTER_PRINTS, FILTER_TASKS = 1 << 20, 16
 #: Rows of fingerprints, and characters of passages, that are broadcast; more of them are joined by shuffles in ``SALTS`` copies.
 BROADCAST_ROWS, BROADCAST_CHARS, SALTS = 1 << 20, 1 << 24, 8
 #: Characters of documents laid out at once.
@@ -181,7 +182,8 @@ def surroundings(texts: Sequence[str], marks: np.ndarray, tiers: Sequence[int],
     ``marks`` is a filter of the chosen grams (see :func:`passing`). ``reach`` is the
     number of letters that a stretch may take to either side; overlapping surroundings are
     put together up to a few times that length, so that each gram has its own around it.
-    Those with fewer than ``least`` different grams are left out.
+    Those with fewer than ``least`` different grams are left out, and those that another
+    reading holds as they are.
     """
     laid = Laid(texts)
     found = []
@@ -204,7 +206,7 @@ def surroundings(texts: Sequence[str], marks: np.ndarray, tiers: Sequence[int],
             j += 1
         end = int(hi[i:j].max())
         prints = np.unique(h[np.searchsorted(at, lo[i]) : np.searchsorted(at, end)])
-        if len(prints) >= least:
+        if len(prints) >= least and not laid.repeats(int(lo[i]), end):
             yield int(laid.text[reading[i]]), " ".join(laid.words(int(lo[i]), end)[0]), prints
         i = j
 
@@ -495,10 +497,12 @@ def _seen(documents: DataFrame) -> np.ndarray | None:
                 total += counters(texts)
                 if chars >= SAMPLE_CHARS:
                     break
+            if chars >= SAMPLE_CHARS:
+                break
         yield pa.RecordBatch.from_arrays([pa.array([np.minimum(total, 2**31 - 1).astype(np.int32).tobytes()], pa.binary())], names=["c"])
 
-    rows = documents.select("t").limit(SAMPLE_DOCUMENTS).coalesce(1).mapInArrow(run, "c binary").collect()  # one row of 4 MB
-    return np.frombuffer(rows[0]["c"], np.int32) if rows else None
+    rows = documents.select("t").limit(SAMPLE_DOCUMENTS).repartition(SAMPLE_TASKS).mapInArrow(run, "c binary").collect()  # a row of 4 MB from each task
+    return sum(np.frombuffer(r["c"], np.int32).astype(np.int64) for r in rows) if rows else None
 
 
 def _segments(passages: DataFrame, seen: np.ndarray | None) -> DataFrame:
@@ -541,7 +545,7 @@ def _marks(prints: DataFrame, n: int) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array([pa.Codec("zstd").compress(marks.tobytes(), asbytes=True)], pa.binary())], names=["m"])
 
     total = filter_of(np.zeros(0, np.uint64), n)
-    for row in prints.select("h").coalesce(FILTER_TASKS).mapInArrow(run, "m binary").toLocalIterator():  # one filter at a time
+    for row in prints.select("h").coalesce(min(FILTER_TASKS, 1 + n // FILTER_PRINTS)).mapInArrow(run, "m binary").toLocalIterator():  # one filter at a time
         total |= np.frombuffer(pa.Codec("zstd").decompress(row["m"], len(total)), np.uint8)
     return total
 

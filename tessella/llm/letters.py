@@ -122,6 +122,7 @@ class Laid:
                 parts_src.append(src[own])
                 sizes.append(np.array([len(own)]))
                 text.append(np.array([t]))
+        self.whole = len(letters)
         self.letters, self.src = np.concatenate(parts_letters), np.concatenate(parts_src)
         self.sizes, self.text = np.concatenate(sizes), np.concatenate(text)
         self.ends = np.cumsum(self.sizes)
@@ -210,6 +211,13 @@ class Laid:
     def reading_of(self, at: np.ndarray) -> np.ndarray:
         return np.searchsorted(self.ends, at, side="right")
 
+    def repeats(self, first: int, last: int) -> bool:
+        """Do these letters of one reading stand next to each other in the first reading of its text, too?"""
+        if first < self.whole:
+            return False
+        lo, hi = np.searchsorted(self.src[: self.whole], [self.src[first], self.src[last - 1]])
+        return bool(hi - lo == last - 1 - first)
+
     def words(self, first: int, last: int) -> tuple[list[str], np.ndarray]:
         """The words of the letters from ``first`` to ``last`` of one reading, as printed, and where each begins.
 
