@@ -278,6 +278,37 @@ def _streamed_after(spark: SparkSession, folder: str) -> DataFrame:
     return QueryExecutor(stored).dataframe("SELECT channel, COUNT(*) AS c, SUM(added) AS s GROUP BY channel")
 
 
+#: Statements over `nation` that are refused, by what is wrong with them.
+REFUSED = {
+    "unknown column": "SELECT nowhere",
+    "column of neither kind": "SELECT n_name, COUNT(*) AS c GROUP BY n_regionkey",
+    "nested aggregates": "SELECT SUM(COUNT(n_name)) AS s",
+    "unknown function": "SELECT UPPER(n_name)",
+    "join": "SELECT n_name FROM nation JOIN region",
+    "two tables": "SELECT n_name FROM nation, region",
+    "set operation": "SELECT n_name UNION SELECT n_name",
+    "subquery": "SELECT n_name WHERE n_regionkey IN (SELECT r_regionkey FROM region)",
+    "window": "SELECT COUNT(*) OVER (PARTITION BY n_regionkey) AS c",
+    "offset": "SELECT n_name ORDER BY n_name LIMIT 5 OFFSET 5",
+    "common table": "WITH a AS (SELECT n_name) SELECT n_name FROM a",
+    "aggregate in WHERE": "SELECT n_name WHERE COUNT(*) > 1",
+}
+
+
+def _refused(spark: SparkSession, folder: str) -> DataFrame:
+    """Which of the statements that the dialect does not have are refused when they are planned."""
+    executor = QueryExecutor(Table.from_dataframe(table(spark, folder, "nation")))
+
+    def refused(statement: str) -> bool:
+        try:
+            executor.dataframe(statement)
+        except (ValueError, NotImplementedError):
+            return True
+        return False
+
+    return spark.createDataFrame([(what, refused(statement)) for what, statement in REFUSED.items()], "what string, refused boolean")
+
+
 def queries() -> dict[str, Query]:
     return {
         **{name: _statement(name) for name in STATEMENTS},
@@ -298,6 +329,7 @@ def queries() -> dict[str, Query]:
         "agg_limit_no_order": _unordered_limit,
         "approx_distinct": _approximate,
         "filter_big_number": _big_numbers,
+        "refused_statements": _refused,
     }
 
 
@@ -316,6 +348,7 @@ ORDER BY p_size, i // CAST(ceil((SELECT COUNT(*) FROM part) / 5.0) AS BIGINT), i
         "approx_distinct": "SELECT event_type, COUNT(DISTINCT user_id) AS n, TRUE AS within FROM events GROUP BY event_type",
         "filter_big_number": """SELECT id FROM (SELECT o_orderkey + 9007199254740992 AS id FROM orders) WHERE id IN (9007199254740995, 9007199254740997, 9007199254740998)
 OR id <= 9007199254740993 ORDER BY id LIMIT 100""",
+        "refused_statements": " UNION ALL ".join(f"SELECT '{what}' AS what, TRUE AS refused" for what in REFUSED),
         "segment_sizes": """SELECT segment, COUNT(*) AS n FROM (SELECT CAST((row_number() OVER () - 1) // CAST(ceil((SELECT COUNT(*) FROM menuitem) / 7.0) AS BIGINT) AS BIGINT) AS segment
 FROM menuitem) GROUP BY segment""",
         "segment_aggregate": STATEMENTS["menu_price_by_page"][2],
