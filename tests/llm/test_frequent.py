@@ -2,6 +2,7 @@ import random
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessella.llm import frequent
 from tessella.llm.frequent import frequent_values
@@ -44,3 +45,21 @@ def test_numbers_nulls_and_empty(spark):
 def test_ties_go_to_the_smaller_value(spark):
     frame = spark.createDataFrame([(i % 50,) for i in range(500)], "v long")
     assert [r["value"] for r in frequent_values(frame, "v", k=7).collect()] == list(range(7))
+
+
+def test_no_rows_are_shuffled(spark, monkeypatch):
+    """Prefixes become a filter; what is shuffled are partial counts alone."""
+    monkeypatch.setattr(frequent, "LITERALS", 0)
+    frame = spark.range(20_000).select((F.col("id") % 700).alias("v"))
+    plan = frequent_values(frame, "v", k=600)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    lines = plan.splitlines()
+    for i, line in enumerate(lines):
+        if "Exchange hashpartitioning" in line:
+            assert "HashAggregate" in lines[i + 1] and "partial_count" in lines[i + 1]
+
+
+def test_steps_that_would_keep_too_many_are_passed_over(spark, monkeypatch):
+    monkeypatch.setattr(frequent, "KEPT", 3)
+    frame = spark.range(3000).select((F.col("id") % 700).alias("v"))
+    assert sorted(map(tuple, frequent_values(frame, "v", k=5).collect())) == [(v, 5) for v in range(5)]

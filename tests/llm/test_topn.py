@@ -1,6 +1,7 @@
 import random
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.llm.topn import top_n_per_group
@@ -61,3 +62,13 @@ def test_at_most_n_rows_a_group_and_partition_are_shuffled(spark):
     plan = top_n_per_group(frame, ["g"], "score", "id", 2)._jdf.queryExecution().executedPlan().toString()
     below = plan[plan.index("Exchange") :]
     assert plan.count("Exchange") == 1 and "MapInArrow" in below
+
+
+def test_a_group_of_a_million_rows(spark):
+    """One group in many batches, each identifier delivered twice, among small groups."""
+    rows = spark.range(1_000_000).select(
+        F.when(F.col("id") % 50 == 0, F.col("id") % 1000).otherwise(F.lit(-1)).alias("g"), (F.col("id") % 500_000).alias("i"), (F.pmod(F.xxhash64(F.col("id") % 500_000), F.lit(10_000))).alias("s")
+    )
+    found = {tuple(r) for r in top_n_per_group(rows, ["g"], "s", "i", 5).collect()}
+    ranked = rows.distinct().withColumn("rank_in_group", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("s"), "i"))).where("rank_in_group <= 5")
+    assert found == {(r["g"], r["i"], r["s"], r["rank_in_group"]) for r in ranked.collect()} and len(found) == 5 * 21
